@@ -1,0 +1 @@
+"""Operators of the diff and replication engine."""

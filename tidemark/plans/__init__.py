@@ -1,0 +1 @@
+"""Plans of the diff and replication engine."""

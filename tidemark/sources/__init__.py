@@ -1,0 +1 @@
+"""Sources of the diff and replication engine."""

@@ -1,0 +1 @@
+"""Streaming of the diff and replication engine."""
