@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules, sharding
+from . import bpe, line_dedup, quality_rules, sharding
 from .common import table
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -20,7 +24,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op6_line_dedup": op6_line_dedup, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op3_bpe": op3_bpe, "op5_sharding": op5_sharding, "op6_line_dedup": op6_line_dedup, "op9_quality_rules": op9_quality_rules}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
