@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
             if batch.num_rows:
                 yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(lengths):
             if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
