@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, quality_rules, sharding
+from . import bpe, line_dedup, ordinal, packing, quality_rules, sharding
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -20,11 +24,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest_report(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_sharding": op5_sharding, "op6_line_dedup": op6_line_dedup, "op9_quality_rules": op9_quality_rules}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_ordinal, op5_sharding, op6_line_dedup, op7_packing, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
