@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, ordinal, packing, quality_rules, sharding
+from . import ann, bpe, html_text, line_dedup, ordinal, packing, quality_rules, sharding
 from .common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -36,7 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_bpe, op4_ordinal, op5_sharding, op6_line_dedup, op7_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html_text, op3_bpe, op4_ordinal, op5_sharding, op6_line_dedup, op7_packing, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
