@@ -63,11 +63,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_texts(df: DataFrame, columns: list[str], each: Callable, schema: str) -> DataFrame:
-    """``each(batch)`` over slices of ``df.select(columns)``, whose second column is the text."""
+def map_texts(df: DataFrame, columns: list[str], each: Callable, schema: str, column: int = 1) -> DataFrame:
+    """``each(batch)`` over slices of ``df.select(columns)``; ``column`` is the place of the text."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in sliced(batches, column):
             out = each(batch)
             if out is not None and out.num_rows:
                 yield out
@@ -78,3 +78,11 @@ def map_texts(df: DataFrame, columns: list[str], each: Callable, schema: str) ->
 def block_of(blocks: int, *columns: str) -> Column:
     """A stable block number of a row: rows of one hot value fall in many blocks by the other columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer held."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, line_dedup, ordinal, packing, quality_rules, sharding
+from . import ann, bpe, html_text, line_dedup, ordinal, packing, quality_rules, sharding, suffix_dedup
 from .common import table
 
 
@@ -36,11 +36,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_html_text, op3_bpe, op4_ordinal, op5_sharding, op6_line_dedup, op7_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html_text, op3_bpe, op4_ordinal, op5_sharding, op6_line_dedup, op7_packing, op8_suffix_dedup, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
