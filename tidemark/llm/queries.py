@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, line_dedup, ordinal, packing, quality_rules, sharding, suffix_dedup
+from . import ann, bpe, html_text, line_dedup, ngram_join, ordinal, packing, quality_rules, sharding, suffix_dedup
 from .common import table
 
 
@@ -44,7 +44,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_html_text, op3_bpe, op4_ordinal, op5_sharding, op6_line_dedup, op7_packing, op8_suffix_dedup, op9_quality_rules)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html_text, op3_bpe, op4_ordinal, op5_sharding, op6_line_dedup, op7_packing, op8_suffix_dedup, op9_quality_rules, op10_ngram_join)}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
