@@ -11,8 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Workers give memory back after each batch; Arrow's own pool would keep it.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Texts that one slice of an Arrow batch holds at most: rows and bytes.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -276,25 +276,32 @@ def covered(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return found.join(ranges, ["h", "c"]).groupBy("doc", "crc").agg(F.collect_list(F.struct("at", "most", "least")).alias("spans"))
 
 
-def removed_mask(n: int, spans: list[dict] | None) -> np.ndarray:
-    """Bytes of a text of ``n`` bytes that go."""
-    edge = np.zeros(n + 1, np.int32)
-    for s in spans or ():
-        at, most, least = s["at"], s["most"], s["least"]
-        if most < 0:
-            most, least = min(REST, at), max(0, REST - (n - at - GRAM))
-        edge[at - most] += 1
-        edge[at - least + SPAN] -= 1
+def removed_mask(n: int, spans: tuple[np.ndarray, ...] | None) -> np.ndarray:
+    """Bytes of a text of ``n`` bytes that go; ``spans``: places of anchors, largest and smallest d."""
+    edge = np.zeros(n + 1, np.int64)
+    if spans is not None:
+        at, most, least = spans
+        begin = at - np.where(most < 0, np.minimum(REST, at), most)
+        end = at - np.where(most < 0, np.maximum(0, REST - (n - at - GRAM)), least) + SPAN
+        edge += np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def _spans(column: pa.ListArray) -> list[tuple[np.ndarray, ...] | None]:
+    """A list of ``(at, most, least)`` structs per row as arrays."""
+    inner = column.values
+    fields = [inner.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+    offsets = column.offsets.to_numpy()
+    return [tuple(f[a:b] for f in fields) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def digest_report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: bytes, bytes removed, removed runs, and the hash of what stays."""
     both = keyed(docs).join(covered(docs, hot), ["doc", "crc"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "spans")
 
     def each(batch):
         out: list[list] = [[], [], [], []]
-        for text, spans in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(texts(batch.column(1)), _spans(batch.column(2)), strict=True):
             gone = removed_mask(len(text), spans)
             left = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
             values = (len(text), int(gone.sum()), int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and bool(gone[0]))), hashlib.sha256(left).hexdigest())
@@ -315,7 +322,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         for batch in batches:
             out = []
             at = batch.schema.get_field_index("text")
-            for text, own in zip(texts(batch.column(at)), batch.column("__spans").to_pylist(), strict=True):
+            for text, own in zip(texts(batch.column(at)), _spans(batch.column(batch.num_columns - 1)), strict=True):
                 if own:
                     data, gone = np.frombuffer(text, np.uint8), removed_mask(len(text), own)
                     starts = np.flatnonzero((data & 0xC0) != 0x80)
