@@ -83,26 +83,14 @@ def snapshot(store: ParquetStore, at: str | None = None) -> dict:
     return meta
 
 
-def _held(store: ParquetStore) -> list[dict]:
-    out = []
-    for name in store.files.names(f"{store.root}/_snapshots"):
-        try:
-            one = json.loads(store.files.read(f"{store.root}/_snapshots/{name}"))
-            one["meta"]["timestamp"], one["tables"].items()
-            out.append(one)
-        except (ValueError, KeyError, TypeError, AttributeError):
-            continue  # not one of ours
-    return sorted(out, key=lambda x: x["meta"]["timestamp"], reverse=True)
-
-
 def list_snapshots(store: ParquetStore) -> list[dict]:
     """Descriptions, newest first; what cannot be read is left out."""
-    return [x["meta"] for x in _held(store)]
+    return [x["meta"] for x in store.snapshots()]
 
 
 def restore(store: ParquetStore, at: str) -> dict:
     """Publish the snapshot of that time, or the last one before it, as the next version."""
-    held = _held(store)
+    held = store.snapshots()
     found = next((x for x in held if x["meta"]["timestamp"] <= at), None)
     if found is None:
         raise NotFound(f"no snapshot at or before {at}; the earliest is {held[-1]['meta']['timestamp'] if held else 'none'}")

@@ -142,11 +142,23 @@ class ParquetStore(Store):
         tables[spec.name] = self.write_version(spec, rows)
         self.publish(tables, expected)
 
+    def snapshots(self) -> list[dict]:
+        """Named commits, newest first; files that are none are left out."""
+        out = []
+        for name in self.files.names(f"{self.root}/_snapshots"):
+            try:
+                one = json.loads(self.files.read(f"{self.root}/_snapshots/{name}"))
+                one["meta"]["timestamp"], one["tables"].items()
+                out.append(one)
+            except (ValueError, KeyError, TypeError, AttributeError):
+                continue
+        return sorted(out, key=lambda x: x["meta"]["timestamp"], reverse=True)
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders that none of the last ``keep`` commits and no snapshot names."""
         last = self.version()
         held = [self.manifest(v) for v in range(max(0, last - keep + 1), last + 1) if self.files.exists(f"{self.root}/_commits/{v:010d}.json")]
-        held += [json.loads(self.files.read(f"{self.root}/_snapshots/{n}")) for n in self.files.names(f"{self.root}/_snapshots")]
+        held += self.snapshots()
         used = {e["path"] for m in held for e in m["tables"].values()}
         gone = []
         for name in self.files.names(self.root):
