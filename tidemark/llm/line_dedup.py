@@ -250,7 +250,7 @@ def digest_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     index = LineIndex(docs.sparkSession, None, min_chars, min_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index.insert(rows)
-    both = rows.join(index.dropped(rows), "doc_id", "left")
+    both = rows.join(index.dropped(rows).hint("merge"), "doc_id", "left")
 
     def each(batch):
         n, gone, sha = [], [], []
@@ -269,7 +269,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     index = LineIndex(docs.sparkSession, None, min_chars, min_docs)
     index.insert(docs)
     lost = index.dropped(docs).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
-    both = docs.join(lost, docs["doc_id"].cast("long") == F.col("__id"), "left").select(*(docs[c] for c in docs.columns), "__drops")
+    both = docs.join(lost.hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left").select(*(docs[c] for c in docs.columns), "__drops")
 
     def run(batches):
         for batch in batches:

@@ -190,7 +190,8 @@ def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays([pa.array([shingler.grams(t).tobytes() for t in texts(batch.column(0))], pa.binary()), *batch.columns[1:]], names=["grams", *batch.schema.names[1:]])
 
     own_docs = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    held = own_docs.join(dealt, "rep").select("text", "rep", "size", "comp", "blocks", "side", "room").mapInArrow(read, "grams binary, rep long, size long, comp long, blocks int, side int, room long")
+    # A merge join at every size: what is moved follows the input, and no side is broadcast by chance.
+    held = own_docs.join(dealt.hint("merge"), "rep").select("text", "rep", "size", "comp", "blocks", "side", "room").mapInArrow(read, "grams binary, rep long, size long, comp long, blocks int, side int, room long")
     # A member of block s meets every block, its own included: keys (least, largest) of the two.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = held.select("grams", "rep", "size", "comp", "side", "blocks", "room", other)
@@ -244,5 +245,5 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, but only the smallest id of each class; rows without an id stay."""
     gone = join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    left = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
     return left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -263,7 +263,7 @@ def covered(docs: DataFrame, hot: int = HOT) -> DataFrame:
             kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["gram", "left", "right", "h", "c", "n", "k"])
 
-    once = rows.join(mixed, ["doc", "crc"]).select("text", "asked")
+    once = rows.join(mixed.hint("merge"), ["doc", "crc"]).select("text", "asked")
     fetched = stored(once.mapInArrow(fetch, "gram binary, left binary, right binary, h long, c long, n long, k long"), "suffixes")
     release(spark)
     ranges = _resolved(fetched.filter(F.col("k") <= hot).drop("k"))
@@ -297,7 +297,7 @@ def _spans(column: pa.ListArray) -> list[tuple[np.ndarray, ...] | None]:
 
 def digest_report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: bytes, bytes removed, removed runs, and the hash of what stays."""
-    both = keyed(docs).join(covered(docs, hot), ["doc", "crc"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "spans")
+    both = keyed(docs).join(covered(docs, hot).hint("merge"), ["doc", "crc"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "spans")
 
     def each(batch):
         out: list[list] = [[], [], [], []]
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents, with all their columns, without the characters that lie wholly in repeated strings."""
     spans = covered(docs, hot).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("spans").alias("__spans"))
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("__crc"))
-    both = docs.join(spans, same, "left").select(*(docs[c] for c in docs.columns), "__spans")
+    both = docs.join(spans.hint("merge"), same, "left").select(*(docs[c] for c in docs.columns), "__spans")
 
     def run(batches):
         for batch in batches:
