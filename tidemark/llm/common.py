@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Workers give memory back after each batch; Arrow's own pool would keep it.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -89,3 +90,34 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not use, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by quoted name, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_whole(df: DataFrame, columns: list[str], run: Callable) -> DataFrame:
+    """``df.mapInArrow`` giving the first of its columns back as ``columns``; names with dots, which it cannot resolve, come through."""
+    fields = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(df.schema)]
+    safe = df.toDF(*(f.name for f in fields))
+    return safe.mapInArrow(run, T.StructType(fields[: len(columns)])).toDF(*columns)
+
+
+def with_texts(batch: pa.RecordBatch, at: int, found: list[str | None], columns: int) -> pa.RecordBatch:
+    """The first columns of a batch, with other texts."""
+    arrays = [pa.array(found, pa.string()) if k == at else batch.column(k) for k in range(columns)]
+    return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:columns])
+
+
+def counted(done: DataFrame, docs: DataFrame) -> DataFrame:
+    """``n_chars`` brought to the text as it is now, where the documents have it."""
+    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

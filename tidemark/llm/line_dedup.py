@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, shared_dir, stored, texts
+from .common import counted, fresh, map_texts, map_whole, own_columns, shared_dir, stored, texts, with_texts
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -268,16 +268,16 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """The documents, with all their columns, without the lines that they lose."""
     index = LineIndex(docs.sparkSession, None, min_chars, min_docs)
     index.insert(docs)
-    lost = index.dropped(docs).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
-    both = docs.join(lost.hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left").select(*(docs[c] for c in docs.columns), "__drops")
+    key, drops = fresh(docs, "__id"), fresh(docs, "__drops")
+    lost = index.dropped(docs).select(F.col("doc_id").alias(key), F.col("drops").alias(drops))
+    both = docs.join(lost.hint("merge"), F.col("doc_id").cast("long") == F.col(key), "left").select(*own_columns(docs), drops)
+
+    at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
         for batch in batches:
-            drops = batch.column("__drops").to_pylist()
-            out = [t if not d else b"\n".join(_without(t, d, min_chars)[0]) for t, d in zip(texts(batch.column("text")), drops, strict=True)]
-            at = batch.schema.get_field_index("text")
-            arrays = [pa.array([x.decode("utf-8", "replace") for x in out], batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
-
-    done = both.mapInArrow(run, docs.schema)
-    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+            lost = batch.column(n).to_pylist()
+            out = [t if not d else b"\n".join(_without(t, d, min_chars)[0]) for t, d in zip(texts(batch.column(at)), lost, strict=True)]
+            yield with_texts(batch, at, [x.decode("utf-8", "replace") for x in out], n)
+
+    return counted(map_whole(both, docs.columns, run), docs)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, release, stored, texts
+from .common import fresh, map_texts, release, stored, texts
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
 BLOCK, TOGETHER, MOST_CACHED = 512, 2000, 400_000
@@ -244,6 +244,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, but only the smallest id of each class; rows without an id stay."""
-    gone = join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
     return left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -20,9 +20,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_texts, texts
+from .common import counted, map_texts, map_whole, texts, with_texts
 
 #: ASCII white space, symbols that are counted, ends of sentences, separators.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -122,19 +121,17 @@ def judge(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
 def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """The documents that are kept, with all their columns and without their failing lines."""
 
+    at, n = docs.columns.index("text"), len(docs.columns)
+
     def run(batches):
         for batch in batches:
             out, keep = [], []
-            for text in texts(batch.column("text")):
+            for text in texts(batch.column(at)):
                 _, _, kept, fails = judged(text, max_lost)
                 keep.append(kept)
                 if kept and any(fails):
                     text = b"\n".join(x for x, f in zip(text.split(b"\n"), fails, strict=True) if not f)
                 out.append(text.decode("utf-8", "replace") if kept else None)
-            at = batch.schema.get_field_index("text")
-            arrays = list(batch.columns)
-            arrays[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            yield with_texts(batch, at, out, n).filter(pa.array(keep, pa.bool_()))
 
-    done = docs.mapInArrow(run, docs.schema)
-    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    return counted(map_whole(docs, docs.columns, run), docs)

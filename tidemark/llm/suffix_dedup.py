@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, release, stored, texts
+from .common import counted, fresh, map_texts, map_whole, own_columns, release, stored, texts, with_texts
 
 SPAN, GRAM, HOT, CHUNK = 200, 64, 65_536, 16_384
 REST = SPAN - GRAM
@@ -314,23 +314,23 @@ def digest_report(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents, with all their columns, without the characters that lie wholly in repeated strings."""
-    spans = covered(docs, hot).select(F.col("doc").alias("__doc"), F.col("crc").alias("__crc"), F.col("spans").alias("__spans"))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary")) == F.col("__crc"))
-    both = docs.join(spans.hint("merge"), same, "left").select(*(docs[c] for c in docs.columns), "__spans")
+    doc, crc, held = (fresh(docs, x) for x in ("__doc", "__crc", "__spans"))
+    spans = covered(docs, hot).select(F.col("doc").alias(doc), F.col("crc").alias(crc), F.col("spans").alias(held))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) == F.col(crc))
+    both = docs.join(spans.hint("merge"), same, "left").select(*own_columns(docs), held)
+
+    at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
         for batch in batches:
             out = []
-            at = batch.schema.get_field_index("text")
-            for text, own in zip(texts(batch.column(at)), _spans(batch.column(batch.num_columns - 1)), strict=True):
+            for text, own in zip(texts(batch.column(at)), _spans(batch.column(n)), strict=True):
                 if own:
                     data, gone = np.frombuffer(text, np.uint8), removed_mask(len(text), own)
                     starts = np.flatnonzero((data & 0xC0) != 0x80)
                     whole = np.minimum.reduceat(gone, starts)
                     text = data[~np.repeat(whole, np.diff(np.append(starts, len(data))))].tobytes()
                 out.append(text.decode("utf-8", "replace"))
-            arrays = [pa.array(out, batch.schema.field(k).type) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
+            yield with_texts(batch, at, out, n)
 
-    done = both.mapInArrow(run, docs.schema)
-    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    return counted(map_whole(both, docs.columns, run), docs)
