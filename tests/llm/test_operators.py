@@ -132,7 +132,7 @@ def test_bpe_ids_agree_and_round_trip(reference):
     own, rng = bpe.codec(), random.Random(1)
     points = [chr(i) for i in range(0, 0x110000, 5) if not 0xD800 <= i < 0xE000]
     texts = ["a" + x + "b " + x + " c" + x + x + " 1\n " + x for x in points] + ["".join(rng.choice("aaabbct' \n\t1é\x1c\x85") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    texts += ["a" * 5000, "ab" * 3000, " " * 1000, "", "<|endoftext|>", "'s're'll"]
+    texts += ["a" * 5000, "ab" * 3000, " " * 1000, "", "some words of a very long text, 1 2 3 " * 40_000, "<|endoftext|>", "'s're'll"]
     flat, counts = own.encode_block(texts)
     back, sizes = own.decode_block(flat.astype(np.int64), counts)
     at = 0
@@ -520,3 +520,12 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["comp"] for r in ngram_join.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_shared_folder(spark):
+    from tidemark.llm.common import discard, stored, work_dir
+
+    held = stored(spark.range(3), "numbers")
+    assert held.count() == 3 and held.inputFiles()[0].find(work_dir(spark).rsplit("/", 1)[1]) > 0
+    discard(spark)
+    assert stored(spark.range(2), "numbers").count() == 2

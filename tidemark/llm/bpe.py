@@ -24,6 +24,7 @@ import base64
 import hashlib
 import heapq
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes of text in a block, and words that a worker remembers.
-BLOCK_BYTES, MOST_WORDS = 6 << 20, 400_000
+#: Bytes of text in a block, words that a worker remembers, and characters from which a text is split piece by piece.
+BLOCK_BYTES, MOST_WORDS, LONG_TEXT = 6 << 20, 400_000, 1 << 20
 NONE = np.int32(1 << 30)
 
 
@@ -72,7 +73,8 @@ class Codec:
         order = np.argsort(np.array(keys, np.int64))
         self.pair_keys = np.concatenate([np.array(keys, np.int64)[order], [np.iinfo(np.int64).max]])
         self.pair_ranks = np.concatenate([np.array(values, np.int32)[order], [NONE]]).astype(np.int32)
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
@@ -163,6 +165,12 @@ class Codec:
         alive = tok >= 0
         return tok[alive], np.bincount(word[alive], minlength=len(words))
 
+    def _pieces(self, text: str):
+        """Matches of a long text, some at a time."""
+        found = (m[0] for m in self.pattern.finditer(text))
+        while part := list(islice(found, 1 << 16)):
+            yield part
+
     def encode_block(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and how many each has."""
         number, split = self.number, self.split
@@ -172,9 +180,10 @@ class Codec:
         known = len(number)
         parts, counts = [], []
         for text in block:
-            found = split(text)
-            counts.append(len(found))
-            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)))
+            n = len(parts)
+            for found in [split(text)] if len(text) < LONG_TEXT else self._pieces(text):
+                parts.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)))
+            counts.append(sum(map(len, parts[n:])))
         if len(number) > known:
             fresh = [w.encode("utf-8", "replace") for w in list(number)[known:]]
             ids, sizes = self.replay(fresh)

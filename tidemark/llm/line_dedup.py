@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, fresh, map_texts, map_whole, own_columns, shared_dir, stored, texts, with_texts
+from .common import counted, fresh, map_texts, map_whole, own_columns, stored, texts, with_texts, work_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -150,7 +150,7 @@ class LineIndex:
 
     def __init__(self, spark, path: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
-        self.path = path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+        self.path = path or f"{work_dir(spark)}/lines-{uuid.uuid4().hex}"
         self.filters: DataFrame | None = None
         self.shards = 0
         self._refs: DataFrame | None = None
