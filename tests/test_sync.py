@@ -42,6 +42,14 @@ def test_sync_converges(spark, policy, differ):
     assert not any(r.has_changes for r in S.sync_all(a, b, config))
 
 
+def test_fingerprints_pass_over_equal_tables(spark, monkeypatch):
+    config = SyncConfig(fingerprint_first=True)
+    a, b = store(spark, A), store(spark, A[::-1])
+    assert S.alike(a, b, "items", config) and not S.alike(a, store(spark, B), "items", config)
+    monkeypatch.setattr(S, "diff_of", None)
+    assert S.sync_all(a, b, config) == [S.SyncResult("items")]
+
+
 def test_push_and_pull_touch_one_side(spark):
     a, b = store(spark, A), store(spark, B)
     assert S.push_all(a, b, SyncConfig())[0] == S.SyncResult("items", 3, 0)

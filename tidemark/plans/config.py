@@ -120,6 +120,7 @@ class SyncConfig:
     batch_size: int = 100
     max_statement_bytes: int = 92_160
     merge_mode: str = "preserve"
+    fingerprint_first: bool = False
 
     @classmethod
     def from_dict(cls, values: dict) -> SyncConfig:
