@@ -105,3 +105,41 @@ def test_plugin_protocol(tmp_path):
     client.close()
     with pytest.raises(C.PluginError):
         H.plugin_path("no-such-plugin", [str(tmp_path)])
+
+
+PLUGIN = """#!{python}
+import sys
+sys.path.insert(0, {root!r})
+from tidemark.sources.httpsql import serve
+rows = {{str(i): {{"id": i, "name": f"n{{i}}", "updated_at": "1"}} for i in range(5)}}
+class Store:
+    def initialize(self, config): return {{}}
+    def list_tables(self): return ["items"]
+    def table_info(self, table): return {{"name": table, "columns": [{{"name": "id", "type": "INTEGER"}}, {{"name": "name", "type": "TEXT"}}, {{"name": "updated_at", "type": "TEXT"}}], "primary_key": ["id"]}}
+    def get_row_metadata(self, table, timestamp_column, exclude_columns): return {{k: {{"pk_value": k}} for k in rows}}
+    def get_rows(self, table, pk_values): return [rows[k] for k in pk_values]
+    def upsert_rows(self, table, rows):
+        globals()["rows"].update({{str(r["id"]): r for r in rows}})
+        return len(rows)
+    def row_count(self, table): return len(rows)
+serve(Store())
+"""
+
+
+def test_plugin_store(spark, tmp_path):
+    from pathlib import Path
+
+    from tidemark.sources.store import MemoryStore, TableSpec
+
+    path = tmp_path / "plugin"
+    path.write_text(PLUGIN.format(python=sys.executable, root=str(Path(__file__).resolve().parent.parent)))
+    path.chmod(0o755)
+    client = H.PluginClient([H.plugin_path("plugin", [str(tmp_path)])])
+    try:
+        store = H.PluginStore(spark, client, batch=2)
+        local = MemoryStore({"items": spark.createDataFrame([(1, "new", "2"), (9, "x", "1")], "id long, name string, updated_at string")}, {"items": TableSpec("items", ["id"])})
+        out = S.sync_all(local, store, C.SyncConfig())[0]
+        assert (out.pushed, out.pulled) == (2, 4) and store.row_count("items") == 6
+        assert {tuple(r) for r in store.table("items").collect()} == {tuple(r) for r in local.table("items").collect()}
+    finally:
+        client.close()

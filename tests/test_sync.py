@@ -191,6 +191,14 @@ def test_peer_exchange(spark):
     assert rows(a, "users") == rows(b, "users") == {("1", "theirs", "1")}
 
 
+def test_peers(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.createDataFrame([("me", "a", "h", 1, "2024-01-01 00:00:50"), ("b", "old", "h", 1, "2024-01-01 00:00:10"), ("b", "new", "h", 1, "2024-01-01 00:00:50"), ("c", "x", "h", 1, "2023-12-31 00:00:00"), ("d", "x", "h", 2, "2024-01-01 00:00:50")], "instance_id string, addr string, db_hash string, version int, last_seen string")
+    live = peer.peers(seen, F.lit("2024-01-01 00:01:00").cast("timestamp"), 90, "me").collect()
+    assert [(r["instance_id"], r["addr"]) for r in live] == [("b", "new")]
+
+
 def test_packets():
     upserts = [{"id": str(i), "data": "x" * 500} for i in range(20)]
     parts = peer.split("me", 7, "t", upserts, ["del1"])

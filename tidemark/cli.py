@@ -13,7 +13,7 @@ from tidemark.operators import diff as D
 from tidemark.operators import sync as S
 from tidemark.plans.config import Config, ConfigError, SyncError, detect_local_db, exit_code
 from tidemark.sources import relay as R
-from tidemark.sources.httpsql import Client, HttpStore
+from tidemark.sources.httpsql import Client, HttpStore, PluginClient, PluginStore, plugin_path
 from tidemark.sources.sqlite import SqliteStore
 from tidemark.sources.store import ParquetStore, Store
 
@@ -58,7 +58,8 @@ def target_store(spark: SparkSession, config: Config) -> Store:
         if not t.get("url"):
             raise ConfigError("an HTTP target needs a url")
         return HttpStore(spark, Client(t["url"], t.get("profile", "generic"), t.get("auth_token"), config.sync.retry), config.sync.timestamp_column)
-    raise ConfigError("plugins are reached through their client in tidemark.sources.httpsql")
+    path = t.get("path") or plugin_path(t["name"], [os.path.expanduser("~/.tidemark/plugins")])
+    return PluginStore(spark, PluginClient([path]), {k: v for k, v in t.items() if k not in ("type", "name", "path")}, config.sync.timestamp_column, config.sync.batch_size)
 
 
 def run(spark: SparkSession, args: argparse.Namespace, config: Config) -> dict:

@@ -201,6 +201,15 @@ class HttpStore(Store):
         self.upsert(name, fresh.select(*old.columns))
 
 
+def serve(adapter, lines=None, out=None) -> None:
+    """Answer requests line by line until the input ends."""
+    import sys
+
+    for line in lines or sys.stdin:
+        if line.strip():
+            print(dispatch(adapter, line), file=out or sys.stdout, flush=True)
+
+
 # -- plugins --------------------------------------------------------------------------------------------------------
 
 #: Fixed values of the line protocol.
@@ -264,6 +273,47 @@ class PluginClient:
         self._child.wait()
 
 
+class PluginStore(Store):
+    """The tables that a plugin serves; its rows pass through the driver, as its one pipe does."""
+
+    def __init__(self, spark: SparkSession, client: PluginClient, options: dict | None = None, ts_col: str = "updated_at", batch: int = 100):
+        self.spark, self.client, self.ts_col, self.batch = spark, client, ts_col, batch
+        client.call("initialize", config=options or {})
+
+    def list_tables(self) -> list[str]:
+        return user_tables(self.client.call("list_tables"))
+
+    def _info(self, name: str) -> tuple[T.StructType, list[str]]:
+        info = self.client.call("table_info", table=name)
+        kinds = {c["name"]: next((t for mark, t in KINDS if mark in str(c.get("type", "")).upper()), T.StringType()) for c in info["columns"]}
+        return T.StructType([T.StructField(k, t) for k, t in kinds.items()]), list(info["primary_key"])
+
+    def spec(self, name: str) -> TableSpec:
+        schema, pk = self._info(name)
+        return TableSpec(name, pk, self.ts_col if self.ts_col in schema.names else None)
+
+    def row_count(self, name: str) -> int:
+        return int(self.client.call("row_count", table=name))
+
+    def table(self, name: str) -> DataFrame:
+        schema, _ = self._info(name)
+        keys = sorted(self.client.call("get_row_metadata", table=name, timestamp_column=self.ts_col, exclude_columns=[]))
+        out = []
+        for at in range(0, len(keys), self.batch):
+            out += [tuple(to_kind(r.get(f.name), f.dataType) for f in schema) for r in self.client.call("get_rows", table=name, pk_values=keys[at : at + self.batch])]
+        return self.spark.createDataFrame(out, schema)
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        held: list[dict] = []
+        for row in rows.subtract(self.table(name)).toLocalIterator():
+            held.append({k: to_sqlite(v) for k, v in row.asDict().items()})
+            if len(held) == self.batch:
+                self.client.call("upsert_rows", table=name, rows=held)
+                held = []
+        if held:
+            self.client.call("upsert_rows", table=name, rows=held)
+
+
 def plugin_path(name: str, folders: list[str]) -> str:
     """The first executable of that name."""
     import os
