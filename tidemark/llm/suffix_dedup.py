@@ -248,6 +248,7 @@ def covered(docs: DataFrame, hot: int = HOT) -> DataFrame:
     contexts = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "crc", "at")).alias("one")).select("h", "c", "n", "one.*"), "contexts")
     release(spark)
     groups = contexts.groupBy("h").agg(F.count("*").alias("k"), F.sum((F.col("n") < 2).cast("long")).alias("single")).filter("k >= 2 and single >= 1").select("h", "k")
+    groups = stored(groups, "groups")  # both sides of the next join are then plain exchanges, and a hot gram can be split
     mixed = contexts.join(groups, "h").groupBy("doc", "crc").agg(F.collect_list(F.struct("at", "h", "c", "n", "k")).alias("asked"))
 
     def fetch(batches):
