@@ -220,7 +220,7 @@ def test_jump_agrees_with_the_plain_loop():
 
 def test_shards(spark, messy):
     d = docs(spark, [f"t{i % 7}" for i in range(4000)])
-    rows = sharding.shard(d, blocks=16).collect()
+    rows = sharding.shard(d, block_bits=4).collect()
     assert all(r["grown_shard"] in (r["shard"], 8) for r in rows) and 0.08 < np.mean([r["grown_shard"] == 8 for r in rows]) < 0.14
     assert all(r["size"] == 3 and r["text_crc32"] == zlib.crc32(f"t{r['doc_id'] % 7}".encode()) and r["law"] == "key" for r in rows)
     for one in (rows, sharding.shard(messy).collect()):
@@ -228,7 +228,7 @@ def test_shards(spark, messy):
         for r in one:
             slots[r["shard"]].append(r["slot"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert {(r["doc_id"], r["shard"]) for r in sharding.shard(d.repartition(9), blocks=3).collect()} == {(r["doc_id"], r["shard"]) for r in rows}
+    assert {(r["doc_id"], r["shard"]) for r in sharding.shard(d.repartition(9), block_bits=2).collect()} == {(r["doc_id"], r["shard"]) for r in rows}
     assert sharding.shard(messy.limit(0)).count() == 0 and len(one) == messy.count()
 
 

@@ -36,6 +36,8 @@ BOILERPLATE = re.compile(
 )
 MARKUP = re.compile(r"[{}]|</?[a-z]+[^>]*>")
 
+WORD = re.compile("[^\\x20\\x09-\\x0D]+").findall
+
 WINDOW, LEAST_WORDS, MOST_REPEATED, MAX_LOST = 8, 20, 30, 0.5
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, chars_lost long"
 
@@ -64,7 +66,7 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 def line_fails(line: str) -> bool:
     """Whether a line with at least one word breaks a rule."""
-    words = line.split()
+    words = WORD(line)
     bars = sum(w in BARS for w in words)
     if bars >= 2 and bars * 6 >= len(words):
         return True

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_of, stored
+from .common import stored
 
 #: Fixed values of the published algorithm.
 MULTIPLIER = np.uint64(2862933555777941757)
@@ -51,28 +51,41 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return bucket
 
 
+def _keys(ids: pd.Series) -> np.ndarray:
+    null = ids.isna().to_numpy()
+    keys = mixed(ids.fillna(0).astype("int64").to_numpy().view(np.uint64))
+    keys[null] = NULL_KEY
+    return keys
+
+
 def shard_column(column, shards: int):
     """Spark column: the shard of an id column."""
 
     @F.pandas_udf("int")
     def of(ids: pd.Series) -> pd.Series:
-        null = ids.isna().to_numpy()
-        keys = mixed(ids.fillna(0).astype("int64").to_numpy().view(np.uint64))
-        keys[null] = NULL_KEY
-        return pd.Series(jump(keys, shards).astype(np.int32))
+        return pd.Series(jump(_keys(ids), shards).astype(np.int32))
 
     return of(column)
 
 
-def shard(docs: DataFrame, shards: int = 8, blocks: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Assign every row a shard, a gapless slot there, and the shard it would have with one more."""
+def shard(docs: DataFrame, shards: int = 8, block_bits: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Assign every row a shard, a gapless slot there, and the shard it would have with one more.
+
+    Slots follow the block (the highest ``block_bits`` of the mixed id and checksum), the id, the checksum and the size.
+    """
+
+    @F.pandas_udf("shard int, grown_shard int, block int")
+    def place(ids: pd.Series, crcs: pd.Series) -> pd.DataFrame:
+        keys = _keys(ids)
+        block = mixed(ids.fillna(0).astype("int64").to_numpy().view(np.uint64) ^ crcs.to_numpy().astype(np.uint64)) >> np.uint64(64 - block_bits)
+        return pd.DataFrame({"shard": jump(keys, shards).astype(np.int32), "grown_shard": jump(keys, shards + 1).astype(np.int32), "block": block.astype(np.int32)})
+
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    rows = rows.select("*", shard_column(F.col("doc_id"), shards).alias("shard"), shard_column(F.col("doc_id"), shards + 1).alias("grown_shard"), block_of(blocks, "doc_id", "text_crc32").alias("block"))
-    rows = stored(rows, "shards")
+    rows = stored(rows.select("*", place("doc_id", "text_crc32").alias("p")).select("doc_id", "size", "text_crc32", "p.*"), "shards")
     ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
-    if shards * blocks <= 1 << 17:  # the bound of its rows
+    if shards << block_bits <= 1 << 17:  # the bound of its rows
         starts = F.broadcast(starts)
     rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
     ranked = rows.select("*", rank.alias("rank"))
