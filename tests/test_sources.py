@@ -1,8 +1,11 @@
 import json
 import sqlite3
 import sys
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import sync as S
 from tidemark.plans import config as C
@@ -63,22 +66,50 @@ def test_answers():
     assert H.answer_rows(H.profile("generic"), {}) == []
 
 
-def test_http_store(spark, tmp_path):
-    con = sqlite3.connect(database(tmp_path / "h.sqlite", [(i, f"n{i}", 1.0, None, "2024") for i in range(7)]))
-    con.row_factory = sqlite3.Row
-    sent, fails = [], [C.NetworkError("busy", 503)]
-
-    def send(url, headers, body):
-        if fails:
-            raise fails.pop()
-        assert headers["Authorization"] == "Bearer t"
-        sent.append(body)
-        return {"result": [{"results": [dict(r) for r in con.execute(body["sql"], body.get("params", []))]}]}
+@pytest.fixture
+def service(tmp_path):
+    """A stub of a service over an SQLite file; it is busy at the first request."""
+    path, sent, busy = database(tmp_path / "h.sqlite", [(i, f"n{i}", 1.0, None, "2024") for i in range(7)]), [], [503]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            code = busy.pop() if busy else 200 if self.headers["Authorization"] == "Bearer t" else 401
+            out = {}
+            if code == 200:
+                sent.append(body)
+                with sqlite3.connect(path, timeout=30) as con:
+                    con.row_factory = sqlite3.Row
+                    out = {"result": [{"results": [dict(r) for r in con.execute(body["sql"], body.get("params", []))]}]}
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/", sent
+    server.shutdown()
+
+
+def test_http_store(spark, service):
+    url, sent = service
+    store = H.HttpStore(spark, H.Client(url, "d1", "t", C.Retry(initial_ms=1)), "updated_at", page=3, partitions=2)
+    assert store.list_tables() == ["items", "pairs"] and store.spec("items").pk == ["id"] and store.row_count("items") == 7
+    assert sorted(r["id"] for r in store.table("items").collect()) == list(range(7)) and store.table("items").rdd.getNumPartitions() == 2
+    assert store.table("pairs").first()["v"] == "x"
+    store.upsert("items", spark.createDataFrame([(i, "new", 2.0, None, "2025") for i in range(50)], store.table("items").schema).coalesce(1))
+    assert sorted(len(b["params"]) for b in sent if b["sql"].startswith("INSERT")) == [50, 100, 100] and store.row_count("items") == 50
+    from tidemark.sources.store import MemoryStore, TableSpec
 
-    store = H.HttpStore(spark, H.Client("http://x", "d1", "t", send=send, sleep=lambda s: None), "updated_at", page=3)
-    assert store.list_tables() == ["items", "pairs"] and store.table("items").count() == 7 and store.row_count("items") == 7
-    store.upsert("items", spark.createDataFrame([(i, "new", 2.0, None, "2025") for i in range(50)], store.table("items").schema))
-    assert [len(b["params"]) for b in sent if b["sql"].startswith("INSERT")] == [100, 100, 50] and store.row_count("items") == 50
+    local = MemoryStore({"items": store.table("items").filter("id < 10").withColumn("name", F.lit("mine"))}, {"items": TableSpec("items", ["id"], "updated_at")})
+    local = MemoryStore({"items": spark.createDataFrame(local.table("items").collect(), store.table("items").schema)}, {"items": TableSpec("items", ["id"], "updated_at")})
+    out = S.sync_all(local, store, C.SyncConfig())[0]
+    assert (out.pushed, out.pulled) == (10, 40) and {r["name"] for r in store.table("items").filter("id < 10").collect()} == {"mine"}
+    with pytest.raises(C.NetworkError):
+        H.Client(url, "d1", "wrong", C.Retry(max_retries=0)).execute("SELECT 1")
     with pytest.raises(C.NetworkError):
         H.Client("http://x", send=lambda *_: (_ for _ in ()).throw(C.NetworkError("no", 400))).execute("q")
 

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tidemark.functions.globs import user_tables
 from tidemark.operators.batching import insert_statement, max_rows_per_batch, quoted
-from tidemark.plans.config import ConfigError, NetworkError, PluginError, Retry
+from tidemark.plans.config import ConfigError, NetworkError, NotFound, PluginError, Retry
 
 from .sqlite import KINDS, to_kind, to_sqlite
 from .store import Store, TableSpec
@@ -106,9 +107,18 @@ class Client:
     """One service; transient failures are tried again after growing delays."""
 
     def __init__(self, url: str, kind: str = "generic", token: str | None = None, retry: Retry | None = None, send: Callable | None = None, sleep: Callable = time.sleep):
-        self.url, self.profile, self.token = url, profile(kind), token
+        self.url, self.kind, self.profile, self.token = url, kind, profile(kind), token
         self.retry, self._send, self._sleep = retry or Retry(), send, sleep
 
+    def options(self) -> dict[str, str]:
+        """What rebuilds the client on an executor."""
+        r = self.retry
+        return {"url": self.url, "profile": self.kind, "token": self.token or "", "retry": json.dumps([r.max_retries, r.initial_ms, r.cap_ms, r.multiplier])}
+
+    @classmethod
+    def from_options(cls, options: dict) -> Client:
+        return cls(options["url"], options.get("profile", "generic"), options.get("token") or None, Retry(*json.loads(options["retry"])) if "retry" in options else None)
+
     def headers(self) -> dict:
         out = {"Content-Type": "application/json"}
         if self.token:
@@ -142,11 +152,93 @@ class Client:
         raise AssertionError
 
 
+class Pages(InputPartition):
+    def __init__(self, start: int, stop: int):
+        self.start, self.stop = start, stop
+
+
+class HttpReader(DataSourceReader):
+    """Rows in the order of the key, pages of them per partition; each partition asks for its own."""
+
+    def __init__(self, options: dict, schema: T.StructType):
+        self.client, self.schema, self.name = Client.from_options(options), schema, options["table"]
+        self.order, self.page, self.parts = options["order"], int(options.get("page", 1000)), int(options.get("partitions", 8))
+
+    def partitions(self):
+        total = row_count(self.client, self.name)
+        pages = max(1, -(-total // self.page))
+        step = -(-pages // self.parts) * self.page
+        return [Pages(a, a + step) for a in range(0, max(1, total), step)]
+
+    def read(self, part):
+        for at in range(part.start, part.stop, self.page):
+            rows = self.client.execute(f"SELECT * FROM {quoted(self.name)} ORDER BY {self.order} LIMIT {self.page} OFFSET {at}")
+            for r in rows:
+                yield tuple(to_kind(r.get(f.name), f.dataType) for f in self.schema)
+            if len(rows) < self.page:
+                return
+
+
+class HttpWriter(DataSourceWriter):
+    """Statements within the bind limit, sent by the partition that holds the rows; repeating them changes nothing."""
+
+    def __init__(self, options: dict, schema: T.StructType):
+        self.client, self.columns, self.name = Client.from_options(options), schema.names, options["table"]
+
+    def write(self, rows):
+        most = max_rows_per_batch(self.client.profile.bind_limit, len(self.columns)) or 100
+        held: list[dict] = []
+        for row in rows:
+            held.append({c: to_sqlite(v) for c, v in zip(self.columns, row, strict=True)})
+            if len(held) >= most:
+                self.client.execute(*insert_statement(self.name, self.columns, held))
+                held = []
+        if held:
+            self.client.execute(*insert_statement(self.name, self.columns, held))
+        return WriterCommitMessage()
+
+
+class HttpSource(DataSource):
+    """``spark.read.format("tidemark_http")`` with ``url``, ``profile``, ``token``, ``table`` and ``order``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidemark_http"
+
+    def schema(self) -> T.StructType:
+        return table_info(Client.from_options(dict(self.options)), self.options["table"])[0]
+
+    def reader(self, schema):
+        return HttpReader(dict(self.options), schema)
+
+    def writer(self, schema, overwrite):
+        if overwrite:
+            raise ConfigError("a service's table is only added to")
+        return HttpWriter(dict(self.options), schema)
+
+
+def row_count(client: Client, name: str) -> int:
+    return int(next(iter(client.execute(f"SELECT COUNT(*) AS n FROM {quoted(name)}")[0].values())))
+
+
+def table_info(client: Client, name: str) -> tuple[T.StructType, list[str]]:
+    schema, pk = T.StructType(), []
+    for r in client.execute(f"PRAGMA table_info({quoted(name)})"):
+        schema.add(r["name"], next((t for mark, t in KINDS if mark in (r.get("type") or "").upper()), T.StringType()), True)
+        if int(r.get("pk") or 0):
+            pk.append(r["name"])
+    if not schema.names:
+        raise NotFound(f"no table {name!r}")
+    return schema, pk
+
+
 class HttpStore(Store):
-    """Tables of a service. Rows come a page at a time by key, and go in statements within the bind limit."""
+    """The tables of a service, read and written by the executors; schemas are asked for once."""
 
-    def __init__(self, spark: SparkSession, client: Client, ts_col: str | None = None, page: int = 1000):
-        self.spark, self.client, self.ts_col, self.page = spark, client, ts_col, page
+    def __init__(self, spark: SparkSession, client: Client, ts_col: str | None = None, page: int = 1000, partitions: int = 8):
+        spark.dataSource.register(HttpSource)
+        self.spark, self.client, self.ts_col = spark, client, ts_col
+        self._options = client.options() | {"page": str(page), "partitions": str(partitions)}
         self._info: dict[str, tuple[T.StructType, list[str]]] = {}
 
     def list_tables(self) -> list[str]:
@@ -154,51 +246,28 @@ class HttpStore(Store):
 
     def _table_info(self, name: str) -> tuple[T.StructType, list[str]]:
         if name not in self._info:
-            rows = self.client.execute(f"PRAGMA table_info({quoted(name)})")
-            schema = T.StructType()
-            for r in rows:
-                schema.add(r["name"], next((t for mark, t in KINDS if mark in (r.get("type") or "").upper()), T.StringType()), True)
-            self._info[name] = schema, [r["name"] for r in rows if int(r.get("pk") or 0)]
+            self._info[name] = table_info(self.client, name)
         return self._info[name]
 
     def spec(self, name: str) -> TableSpec:
         schema, pk = self._table_info(name)
         return TableSpec(name, pk, self.ts_col if self.ts_col in schema.names else None)
 
+    def row_count(self, name: str) -> int:
+        return row_count(self.client, name)
+
     def table(self, name: str) -> DataFrame:
         schema, pk = self._table_info(name)
-        order, out, offset = ", ".join(map(quoted, pk)) or "1", [], 0
-        while True:
-            got = self.client.execute(f"SELECT * FROM {quoted(name)} ORDER BY {order} LIMIT {self.page} OFFSET {offset}")
-            out += [tuple(to_kind(r.get(f.name), f.dataType) for f in schema) for r in got]
-            offset += len(got)
-            if len(got) < self.page:
-                return self.spark.createDataFrame(out, schema)
-
-    def row_count(self, name: str) -> int:
-        return int(next(iter(self.client.execute(f"SELECT COUNT(*) AS n FROM {quoted(name)}")[0].values())))
+        order = ", ".join(map(quoted, pk)) or "1"
+        return self.spark.read.format("tidemark_http").schema(schema).options(**self._options, table=name, order=order).load()
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        columns = rows.columns
-        most = max_rows_per_batch(self.client.profile.bind_limit, len(columns)) or 100
-        held: list[dict] = []
-
-        def send() -> None:
-            if held:
-                self.client.execute(*insert_statement(name, columns, held))
-                held.clear()
-
-        for row in rows.toLocalIterator():  # a service is one endpoint; rows stream to it, a partition at a time
-            held.append({c: to_sqlite(row[c]) for c in columns})
-            if len(held) >= most:
-                send()
-        send()
+        rows.write.format("tidemark_http").mode("append").options(**self._options, table=name, order="1").save()
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        pk = self.spec(name).pk
+        """Send the rows that are new or changed; a service keeps what it is not told about."""
         old = self.table(name)
-        fresh = rows.subtract(old) if pk else rows
-        self.upsert(name, fresh.select(*old.columns))
+        self.upsert(name, rows.select(*old.columns).subtract(old))
 
 
 def serve(adapter, lines=None, out=None) -> None:
