@@ -21,8 +21,8 @@ def strip(rows: DataFrame, exclude: Iterable[str]) -> DataFrame:
     return rows.drop(*gone) if gone else rows
 
 
-def upsert(target: DataFrame, incoming: DataFrame, pk: list[str], mode: str = "preserve") -> DataFrame:
-    """The target after insert-or-replace by key.
+def upsert(target: DataFrame, incoming: DataFrame, pk: list[str], mode: str = "preserve", keys: DataFrame | None = None) -> DataFrame:
+    """The target after insert-or-replace by key. ``keys``: those of the incoming rows, where they are at hand without computing the rows.
 
     Columns that do not come in keep the target's value with ``preserve`` and become null with
     ``replace``; columns that the target lacks are left out.
@@ -35,7 +35,8 @@ def upsert(target: DataFrame, incoming: DataFrame, pk: list[str], mode: str = "p
     else:
         incoming = incoming.select("*", *[F.lit(None).cast(target.schema[c].dataType).alias(c) for c in missing])
     incoming = incoming.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns])
-    return target.join(incoming.select(*pk), pk, "left_anti").select(*target.columns).unionByName(incoming)
+    gone = (incoming if keys is None else keys).select(*pk)
+    return target.join(gone, pk, "left_anti").select(*target.columns).unionByName(incoming)
 
 
 def delete(target: DataFrame, keys: DataFrame, pk: list[str]) -> DataFrame:

@@ -80,7 +80,7 @@ def diff_of(a, b, name: str, config: SyncConfig, check_keys: bool = False) -> Da
 
 def moved(source: DataFrame, target: DataFrame, keys: DataFrame, pk: list[str], config: SyncConfig) -> DataFrame:
     """The target after the wanted rows of the source came in."""
-    return M.upsert(target, M.strip(M.fetch(source, keys, pk), config.exclude_columns), pk, config.merge_mode)
+    return M.upsert(target, M.strip(M.fetch(source, keys, pk), config.exclude_columns), pk, config.merge_mode, keys)
 
 
 def _report(diff: DataFrame, config: SyncConfig, verbose: bool) -> tuple[dict, dict | None]:
