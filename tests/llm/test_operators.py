@@ -95,6 +95,12 @@ def test_html_broken(page, text):
         html_text.main_text(page)
 
 
+def test_html_hints():
+    prose = "<p>It was the best of times and it was the worst of times, said the man who was there for all of it.</p>"
+    page = f'<div class="page-header"><p>The site of all the news that there is and that you have to read</p></div><article class="post tag-x"><div class="article-header"><h1>Head</h1></div>{prose}<div class="share-bar">Share it</div></article>'
+    assert html_text.main_text(page) == "Head\nIt was the best of times and it was the worst of times, said the man who was there for all of it."
+
+
 def test_html_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<article><p>" + "the words of it " * 100_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect()

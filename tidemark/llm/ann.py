@@ -183,7 +183,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
         if rows.num_rows and queries.num_rows:
             rows = rows.sort_by("vec_id")
             ids = rows.column("vec_id").to_numpy()
-            own = np.array(sorted(set(rows.column("cell").to_pylist())))
+            here = set(rows.column("cell").to_pylist())
+            own = np.array(sorted(here))
             cell = np.searchsorted(own, rows.column("cell").to_numpy())
             codes = _unpack(rows.column("codes"), np.uint8, len(index.books))
             data = _unpack(rows.column("data"), kind, dim).astype(np.float64)
@@ -194,7 +195,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 query_ids = part.column("query_id").to_numpy()
                 probed = np.zeros((len(q), len(own)), bool)
                 for i, cells in enumerate(part.column("cells").to_pylist()):
-                    probed[i, np.searchsorted(own, [c for c in cells if c in own])] = True
+                    probed[i, np.searchsorted(own, [c for c in cells if c in here])] = True
                 score = (q @ index.centres[own].T)[:, cell]
                 for table, code in zip(index.tables(q), codes.T, strict=True):
                     score += table[:, code]

@@ -37,11 +37,12 @@ NEVER = frozenset("nav aside footer form head menu dialog button label input fie
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 HINTS = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|widget|footer|masthead|header|topbar|toolbar"
+    r"(?:^|[\s_\-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|widget|footer|topbar|toolbar"
     r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-list|disqus|respond|replies"
-    r"|pagination|pager|skip|copyright|disclaimer|search|tags?|byline|meta)(?:$|[\s_\-\d])",
+    r"|pagination|pager|skip|copyright|disclaimer|search|tags|byline|meta)(?:$|[\s_\-\d])",
     re.IGNORECASE,
 )
+HEADS = re.compile(r"(?:^|[\s_\-])(?:header|masthead)(?:$|[\s_\-\d])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Frequent words of four languages.
 STOP = frozenset(
@@ -71,7 +72,7 @@ def refused(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and HINTS.search(value) or name == "role" and value.lower() in ROLES:
+        if name in ("class", "id") and (HINTS.search(value) or not in_article and HEADS.search(value)) or name == "role" and value.lower() in ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True

@@ -12,8 +12,8 @@ Result: one row per document with ``class_id`` (smallest id of all documents tha
 ``text_class`` (smallest id with an equal set) and ``n_links`` (documents with a similarity of at
 least the threshold, copies included).
 
-Scale: counts are aggregated before they are shuffled, a candidate group larger than ``BLOCK`` is
-spread over its pairs of blocks, small groups share tasks, and components are found by alternating
+Scale: counts are aggregated before they are shuffled, a candidate group of more than ``BLOCK`` members
+or ``BLOCK_GRAMS`` n-grams is spread over its pairs of blocks, small groups share tasks, and components are found by alternating
 star contractions over edge tables. The sets themselves travel once, for candidates only.
 
 Defined cases: null and empty texts have the empty set, and are copies of each other but similar to
@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, map_texts, release, stored, texts
 
-WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
-BLOCK, TOGETHER, MOST_CACHED = 512, 2000, 400_000
+WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 256
+#: Members of a block and of a room of small groups; n-grams that these may hold together; words that a worker remembers.
+BLOCK, TOGETHER, BLOCK_GRAMS, MOST_CACHED = 512, 2000, 2_000_000, 400_000
 RESULT = "doc_id long, class_id long, n_links long, text_class long"
 
 
@@ -76,28 +77,31 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """``(doc_id, s1, s2, bands)``: a 128-bit name of each set and its band hashes."""
-    seeds = np.random.default_rng(97).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """``(doc_id, s1, s2, n, bands)``: a 128-bit name of each set, its size, and its band hashes."""
+    # Odd factors permute 32-bit numbers; the grams are hashes already, so a product orders them at random.
+    seeds = np.random.default_rng(97).integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
 
     def make():
         shingler = Shingler(words)
 
         def each(batch):
-            names, sign = [], np.zeros((batch.num_rows, bands), np.int64)
+            names, sizes, sign = [], [], np.zeros((batch.num_rows, bands), np.int64)
             for i, text in enumerate(texts(batch.column(1))):
                 grams = shingler.grams(text)
                 names.append(xxhash.xxh3_128_digest(grams.tobytes()))
-                least = np.full(bands * rows, ~np.uint64(0))
-                for at in range(0, len(grams), 2048):
-                    least = np.minimum(least, (grams[at : at + 2048, None] * seeds).min(0))
+                sizes.append(len(grams))
+                heads = (grams >> np.uint64(32)).astype(np.uint32)
+                least = np.full(bands * rows, ~np.uint32(0))
+                for at in range(0, len(heads), 4096):
+                    least = np.minimum(least, np.multiply.outer(seeds, heads[at : at + 4096]).min(1))
                 mix = np.zeros(bands, np.uint64)
-                for column in least.reshape(bands, rows).T:
+                for column in least.reshape(bands, rows).T.astype(np.uint64):
                     mix = (mix ^ column) * Shingler.FACTOR
                     mix ^= mix >> np.uint64(31)
                 sign[i] = mix.view(np.int64)
             pair = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
             offsets = pa.array(np.arange(0, len(names) * bands + 1, bands, dtype=np.int32))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(sign.ravel()))], names=["doc_id", "s1", "s2", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sign.ravel()))], names=["doc_id", "s1", "s2", "n", "bands"])
 
         return each
 
@@ -108,7 +112,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Da
             held.append(make())
         return held[0](batch)
 
-    return map_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], each, "doc_id long, s1 long, s2 long, bands array<long>")
+    return map_texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], each, "doc_id long, s1 long, s2 long, n long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,14 +176,14 @@ def _links(sets: list[np.ndarray], ids: np.ndarray, sizes: np.ndarray, sides: np
 
 
 def verified(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """``(rep, links, root)`` rows of all pairs within each candidate group; ``members``: (rep, size, comp)."""
-    total = members.count()
+    """``(rep, links, root)`` rows of all pairs within each candidate group; ``members``: (rep, size, n, comp)."""
+    total, grams = members.agg(F.count("*"), F.sum("n")).first()
     if not total:
         return docs.sparkSession.createDataFrame([], "rep long, links long, root long")
-    blocks = members.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).filter("blocks > 1")
+    blocks = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS))).cast("int").alias("blocks")).filter("blocks > 1")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = members.join(blocks, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rooms = max(1, -(-total // TOGETHER))
+    rooms = max(1, -(-total // TOGETHER), -(-grams // BLOCK_GRAMS))
     room = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(rooms))).otherwise(F.col("comp"))
     dealt = dealt.select("rep", "size", "comp", "blocks", own.alias("side"), room.alias("room"))
 
@@ -222,7 +226,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     signs = stored(signatures(docs, bands, rows, words), "signatures")
-    classes = stored(signs.filter("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
+    classes = stored(signs.filter("doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     release(spark)
     dealt = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = dealt.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub <> top").select("band", "hash", "hub")
@@ -230,8 +234,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     groups = components(ties)
     release(spark)
     groups = groups.union(groups.select(F.col("comp").alias("node"), "comp").distinct())
-    sizes = classes.groupBy("rep").agg(F.sum("size").alias("size"))
-    members = stored(groups.join(sizes, groups["node"] == sizes["rep"]).select("rep", "size", "comp"), "members")
+    sizes = classes.groupBy("rep").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+    members = stored(groups.join(sizes, groups["node"] == sizes["rep"]).select("rep", "size", "n", "comp"), "members")
     found = stored(verified(members, docs, threshold, words, block), "links")
     release(spark)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
