@@ -49,6 +49,9 @@ def test_watch(tmp_path):
     it = iter(steps)
     assert stream.watch(lambda: next(it)(), 30, f"{tmp_path}/state.json", lines.append, 3, slept.append) == 3
     assert [x["status"] for x in lines] == ["ok", "error", "ok"] and slept == [30, 30] and "last_sync" in json.load(open(f"{tmp_path}/state.json"))
+    slept.clear()
+    down = lambda: (_ for _ in ()).throw(C.NetworkError("down", 503))
+    assert stream.watch(down, 30, ticks=5, sleep=slept.append, retry=C.Retry(initial_ms=1000, cap_ms=4000)) == 5 and slept == [1, 2, 4, 4]
     with pytest.raises(C.ConfigError):
         stream.watch(lambda: (_ for _ in ()).throw(C.ConfigError("bad")), 1, ticks=2)
 

@@ -94,7 +94,7 @@ def test_engine_events(spark):
     e.push()
     assert seen == []
     e.pull()
-    assert [x["table"] for x in seen] == ["items"]
+    assert [(x["table"], x["changedPks"], x["removedPks"], x["source"]) for x in seen] == [("items", ["5"], [], "pull")]
     off()
     assert e.diff()["items"]["identical"] == 5
     assert e.erase_local() == ["items"] and rows(e.local) == set() and e.local.table("items").columns == ["id", "name", "updated_at"]
@@ -277,6 +277,6 @@ def test_cli(spark, tmp_path, capsys):
     assert run("sync")[1]["tables"] == [{"name": "items", "rows_pushed": 3, "rows_pulled": 1}]
     assert run("status")[1]["tables"] == [{"side": s, "table": "items", "n_rows": 5} for s in ("local", "remote")]
     assert run("stash")[0] == 0 and run("snapshot")[0] == 0 and len(run("snapshots")[1]["snapshots"]) == 1
-    assert run("retrieve")[1]["tables"] == [] and run("watch", "--ticks", "1")[1]["ticks"] == 1 and run("broadcast", "--once")[0] == 0
+    assert run("retrieve")[1]["tables"] == [] and run("watch", "--ticks", "1", "--lock", str(tmp_path / "lock"))[1]["ticks"] == 1 and run("broadcast", "--once")[0] == 0
     assert run("restore", "1999")[0] == 5 and run("push", "--table", "none")[0] == 5
     assert cli.main(["--config", str(tmp_path / "missing"), "diff"], spark) == 2

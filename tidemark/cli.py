@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import os
 import sys
@@ -36,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     watch = commands.add_parser("watch")
     watch.add_argument("--interval", type=float, default=30)
     watch.add_argument("--ticks", type=int)
+    watch.add_argument("--lock", help="a file that keeps a second instance away")
     exchange = commands.add_parser("broadcast")
     exchange.add_argument("--once", action="store_true")
     return top
@@ -102,10 +104,11 @@ def run(spark: SparkSession, args: argparse.Namespace, config: Config) -> dict:
 
         a, b = local_store(spark, config), target_store(spark, config)
         return S.command_output(command, [exchange(a, b, n, c) for n in S.tables_to_sync(a, b, c)])
-    from tidemark.streaming.stream import watch
+    from tidemark.streaming.stream import PidLock, watch
 
     a, b = local_store(spark, config), target_store(spark, config)
-    n = watch(lambda: S.sync_all(a, b, c), args.interval, report=lambda line: print(json.dumps(line), flush=True), ticks=args.ticks)
+    with PidLock(args.lock) if args.lock else contextlib.nullcontext():
+        n = watch(lambda: S.sync_all(a, b, c), args.interval, report=lambda line: print(json.dumps(line), flush=True), ticks=args.ticks)
     return {"command": command, "status": "ok", "ticks": n}
 
 

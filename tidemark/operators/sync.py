@@ -23,6 +23,7 @@ class SyncResult:
     pulled: int = 0
     stats: dict | None = None
     detail: dict | None = None
+    changed: list[str] | None = None
 
     @property
     def has_changes(self) -> bool:
@@ -95,9 +96,11 @@ def alike(a, b, name: str, config: SyncConfig) -> bool:
     return marks[0] == marks[1]
 
 
-def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry_run: bool = False, verbose: bool = False, progress: Progress | None = None) -> SyncResult:
+def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry_run: bool = False, verbose: bool = False, progress: Progress | None = None, most_keys: int = 0) -> SyncResult:
     """Compare once, then write the sides that the direction and the policy change.
 
+    With ``most_keys`` the result names up to so many of the keys that were pulled.
+
     The comparison is held while both sides are rewritten, so that the second one does not see the first.
     """
     progress = progress or Progress()
@@ -116,15 +119,14 @@ def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry
             log.warning("table %s: %d rows differ and none is newer; they stay", name, counts[D.CONTENT_DIFFERS])
         if dry_run:
             return SyncResult(name, push, pull, counts, detail)
-        if push:
-            progress.start(name, push)
-            b.replace(name, moved(left, right, D.rows_to_push(found, policy), pk, config))
-            progress.finish(name)
-        if pull:
-            progress.start(name, pull)
-            a.replace(name, moved(right, left, D.rows_to_pull(found, policy), pk, config))
-            progress.finish(name)
-        return SyncResult(name, push, pull)
+        for n, side, source, target, keys in ((push, b, left, right, D.rows_to_push(found, policy)), (pull, a, right, left, D.rows_to_pull(found, policy))):
+            if n:
+                progress.start(name, n)
+                side.replace(name, moved(source, target, keys, pk, config))
+                progress.batch(name, n)
+                progress.finish(name)
+        changed = [r["pk"] for r in D.rows_to_pull(found, policy).select("pk").limit(most_keys).collect()] if pull and most_keys else None
+        return SyncResult(name, push, pull, changed=changed)
     finally:
         found.unpersist()
 
@@ -200,6 +202,7 @@ class Engine:
     local: object
     remote: object | None = None
     config: SyncConfig = field(default_factory=SyncConfig)
+    most_keys: int = 1000
 
     def __post_init__(self):
         self._listeners: list[Callable[[dict], None]] = []
@@ -214,12 +217,12 @@ class Engine:
     def _run(self, direction: str, **more) -> list[SyncResult]:
         if self.remote is None:
             raise NotFound("there is no target")
-        out = sync_all(self.local, self.remote, self.config, direction, **more)
+        out = sync_all(self.local, self.remote, self.config, direction, most_keys=self.most_keys if self._listeners else 0, **more)
         if direction != "push" and not more.get("dry_run"):
             for r in out:
                 if r.pulled:
                     for call in list(self._listeners):
-                        call({"table": r.table, "rows": r.pulled, "removedPks": [], "source": direction})
+                        call({"table": r.table, "rows": r.pulled, "changedPks": r.changed or [], "removedPks": [], "source": direction})
         return out
 
     def push(self, **more) -> list[SyncResult]:

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.operators import merge as M
 from tidemark.operators.peer import ReplayGuard
 from tidemark.operators.sync import SyncResult
-from tidemark.plans.config import ConfigError, is_transient
+from tidemark.plans.config import ConfigError, Retry, is_transient
 
 STATE = T.StructType([T.StructField("highest", T.LongType()), T.StructField("seen", T.StringType())])
 
@@ -112,24 +112,26 @@ class PidLock:
         os.unlink(self.path)
 
 
-def watch(tick: Callable[[], list[SyncResult]], interval: float, state_path: str | None = None, report: Callable[[dict], None] = lambda line: None, ticks: int | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+def watch(tick: Callable[[], list[SyncResult]], interval: float, state_path: str | None = None, report: Callable[[dict], None] = lambda line: None, ticks: int | None = None, sleep: Callable[[float], None] = time.sleep, retry: Retry | None = None) -> int:
     """Run ``tick`` now and after every interval until a fatal error, an interrupt or the last tick; the number of ticks done.
 
-    Transient errors are reported and tried again at the next tick.
+    Transient errors are reported and tried again at the next tick, or after the growing delays of ``retry``.
     """
-    done, stop = 0, []
+    done, failed, stop = 0, 0, []
     old = signal.signal(signal.SIGINT, lambda *_: stop.append(1)) if ticks is None else None
     try:
         while not stop and (ticks is None or done < ticks):
             if done:
-                sleep(interval)
+                sleep(retry.delay_ms(failed - 1) / 1000 if retry and failed else interval)
             try:
                 results = tick()
+                failed = 0
                 report({"at": iso_now(), "status": "ok", "tables": [{"name": r.table, "rows_pushed": r.pushed, "rows_pulled": r.pulled} for r in results if r.has_changes]})
                 if state_path:
                     with open(state_path, "w") as f:
                         json.dump({"last_sync": iso_now()}, f)
             except Exception as e:
+                failed += 1
                 report({"at": iso_now(), "status": "error", "error": str(e)})
                 if not is_transient(e):
                     raise
