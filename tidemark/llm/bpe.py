@@ -6,9 +6,9 @@ stands. Ranks are taken in order; each one is applied to all its positions at on
 neighbours of a merged position enter the index again. A word is encoded once per task however
 often it occurs, and the texts are then a gather over the encoded words.
 
-A merge may create a pair of a lower rank, and a word may hold a pair more than once. Only the
-leftmost position of a word is merged in a step, the others go back to the index behind whatever
-lower rank came up, which is the order of encoding each word by itself.
+A word may hold a pair more than once, and a merge may create a pair of a lower rank. Then only the
+leftmost position of the word is merged in that step, and the others go back to the index behind the
+lower rank, which is the order of encoding each word by itself.
 
 Scale: one map over the rows; nothing is shuffled. The vocabulary (tens of thousands of entries) is
 read by each worker from the public file; the block of texts and the store of words are bounded.
@@ -134,18 +134,12 @@ class Codec:
             if not len(at):
                 continue
             if len(at) > 1:
-                at = np.unique(at)
-                own = word[at]
-                first = np.ones(len(at), bool)
-                np.not_equal(own[1:], own[:-1], out=first[1:])
-                if not first.all():
-                    later = at[~first]
-                    index[r].append(later)
+                at, again = self._together(np.unique(at), r, tok, nxt, prv, word)
+                if len(again):
+                    index[r].append(again)
                     heapq.heappush(ranks, r)
-                    at = at[first]
             gone = nxt[at]
             after = nxt[gone]
-            before = prv[at]
             tok[at] = r
             tok[gone] = -1
             pair[gone] = NONE
@@ -153,6 +147,7 @@ class Codec:
             nxt[at] = after
             right = after >= 0
             prv[after[right]] = at[right]
+            before = prv[at]
             leftward = before >= 0
             lefts, rights = before[leftward], at[right]
             both = np.concatenate([lefts, rights])
@@ -165,6 +160,36 @@ class Codec:
         alive = tok >= 0
         return tok[alive], np.bincount(word[alive], minlength=len(words))
 
+    def _together(self, at: np.ndarray, r: int, tok: np.ndarray, nxt: np.ndarray, prv: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted positions of rank ``r``, those to merge at once, and those to come back to.
+
+        Of overlapping positions every other one is merged, from the left. Where a merge would bring up a
+        lower rank on either side, its word merges its leftmost position only.
+        """
+        order = np.arange(len(at))
+        linked = np.zeros(len(at), bool)
+        np.equal(nxt[at[:-1]], at[1:], out=linked[1:])
+        take = (order - np.maximum.accumulate(np.where(linked, 0, order))) & 1 == 0
+        own = word[at]
+        p = at[take]
+        if (own[take][1:] != own[take][:-1]).all():
+            return p, at[:0]
+        gone = nxt[p]
+        low = np.zeros(len(p), bool)
+        after = nxt[gone]
+        some = after >= 0
+        low[some] = self.rank_of(np.full(some.sum(), r), tok[after[some]]) < r
+        before = prv[p]
+        some = before >= 0
+        left = np.where(np.isin(before, gone), r, tok[before])
+        low[some] |= self.rank_of(left[some], np.full(some.sum(), r)) < r
+        if not low.any():
+            return p, at[:0]
+        wait = np.isin(own, own[take][low])
+        first = np.ones(len(at), bool)
+        np.not_equal(own[1:], own[:-1], out=first[1:])
+        return at[take & ~wait | first & wait], at[wait & ~first]
+
     def _pieces(self, text: str):
         """Matches of a long text, some at a time."""
         found = (m[0] for m in self.pattern.finditer(text))

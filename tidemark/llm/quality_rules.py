@@ -34,7 +34,7 @@ BOILERPLATE = re.compile(
     "|click here|sign up|log ?in to|subscribe (?:now|to our)|share this|read more|skip to (?:main )?content|powered by",
     re.IGNORECASE,
 )
-MARKUP = re.compile(r"[{}]|</?[a-z]+[^>]*>")
+MARKUP = re.compile(r"[{}]|</?[a-z]+[^<>]*>")
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+").findall
 
