@@ -118,6 +118,27 @@ def test_parquet_store_versions(spark, tmp_path):
         ParquetStore(spark, str(tmp_path / "missing"))
 
 
+def test_parquet_store_loses_no_writes(spark, tmp_path):
+    a = parquet(spark, tmp_path / "s", A)
+    b = ParquetStore(spark, str(tmp_path / "s"))
+    mine, theirs = a.table("items"), b.table("items")
+    b.add(TableSpec("other", ["id"]), theirs)
+    a.replace("items", mine.filter("id > 1"))  # a commit of another table does no harm
+    with pytest.raises(C.ConcurrentWrite):
+        b.replace("items", theirs.filter("id > 2"))
+    assert a.row_count("items") == 3 and a.list_tables() == ["items", "other"]
+
+
+def test_tables_in_parallel(spark, tmp_path):
+    a, b = (ParquetStore(spark, str(tmp_path / x), create=True) for x in "ab")
+    for s, part in ((a, A), (b, B)):
+        for n in ("t1", "t2", "t3"):
+            s.add(TableSpec(n, ["id"], "updated_at"), spark.createDataFrame(part, ITEMS))
+    out = S.sync_all(a, b, SyncConfig(), parallel=3)
+    assert [(r.table, r.pushed, r.pulled) for r in out] == [(n, 3, 1) for n in ("t1", "t2", "t3")]
+    assert all(rows(a, n) == rows(b, n) for n in ("t1", "t2", "t3"))
+
+
 def test_sync_of_parquet_stores(spark, tmp_path):
     a, b = parquet(spark, tmp_path / "a", A), parquet(spark, tmp_path / "b", B)
     S.sync_all(a, b, SyncConfig())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -139,14 +140,17 @@ def pull_table(a, b, name: str, config: SyncConfig, **more) -> SyncResult:
     return sync_table(a, b, name, config, "pull", **more)
 
 
-def sync_all(a, b, config: SyncConfig, direction: str = "sync", table: str | None = None, **more) -> list[SyncResult]:
-    """All tables that both sides share, or one that both must have."""
+def sync_all(a, b, config: SyncConfig, direction: str = "sync", table: str | None = None, parallel: int = 1, **more) -> list[SyncResult]:
+    """All tables that both sides share, or one that both must have; ``parallel`` of them at a time as jobs of their own."""
     if table is not None:
         validated(table, a.list_tables())
         validated(table, b.list_tables())
         names = [table]
     else:
         names = tables_to_sync(a, b, config)
+    if parallel > 1:
+        with ThreadPoolExecutor(parallel) as pool:
+            return list(pool.map(lambda n: sync_table(a, b, n, config, direction, **more), names))
     return [sync_table(a, b, n, config, direction, **more) for n in names]
 
 

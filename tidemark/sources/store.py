@@ -7,6 +7,7 @@ and nothing that a plan still reads is ever overwritten. Snapshots are commits w
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from abc import ABC, abstractmethod
@@ -82,6 +83,7 @@ class ParquetStore(Store):
             raise ConfigError(f"no store at {root!r}: known schemes are {', '.join(x for x in self.SCHEMES if x)}")
         self.spark, self.files, self.read_only = spark, Files(spark), read_only
         self.root = root.rstrip("/")
+        self._seen: dict[str, str] = {}  # the version of each table that plans were last made from
         if not self.files.names(f"{self.root}/_commits"):
             if not create:
                 raise NotFound(f"no store at {root}")
@@ -120,6 +122,7 @@ class ParquetStore(Store):
 
     def table(self, name: str) -> DataFrame:
         e = self._entry(name)
+        self._seen[name] = e["path"]
         return self.spark.read.schema(T.StructType.fromJson(e["schema"])).parquet(f"{self.root}/{e['path']}")
 
     def write_version(self, spec: TableSpec, rows: DataFrame) -> dict:
@@ -129,10 +132,23 @@ class ParquetStore(Store):
         return {"path": path, "schema": rows.schema.jsonValue(), **{k: v for k, v in asdict(spec).items() if k != "name"}}
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        expected = self.version()
-        tables = self.manifest(expected)["tables"]
-        tables[name] = self.write_version(self.spec(name), rows)
-        self.publish(tables, expected)
+        """Publish rows as the table's next version.
+
+        Fails if the table is not the one last read here, so no other writer's rows are lost; commits of
+        other tables in between do no harm.
+        """
+        spec = self.spec(name)
+        seen = self._seen.get(name, self._entry(name)["path"])
+        entry = self.write_version(spec, rows)
+        while True:
+            expected = self.version()
+            tables = self.manifest(expected)["tables"]
+            if tables.get(name, {}).get("path") != seen:
+                raise ConcurrentWrite(f"table {name!r} of {self.root} was written by somebody else")
+            with contextlib.suppress(ConcurrentWrite):
+                self.publish(tables | {name: entry}, expected)
+                self._seen[name] = entry["path"]
+                return
 
     def add(self, spec: TableSpec, rows: DataFrame) -> None:
         """A new table, its key in the order of its columns."""
