@@ -8,6 +8,7 @@ timestamp; 5 has no timestamp there and other content; 6 has another timestamp a
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -384,14 +385,14 @@ def snapshot_asof(spark, sf):
 
 # -- incremental ----------------------------------------------------------------------------------------------------
 
-_MID = "(SELECT to_timestamp(CAST(floor((epoch(min(ts)) + epoch(max(ts))) / 2) AS BIGINT))::TIMESTAMP FROM events)"
+_MID = "(SELECT make_timestamp(CAST((epoch_us(min(ts)) + epoch_us(max(ts))) // 2000000 * 1000000 AS BIGINT)) FROM events)"
 
 
 def _mid(df: DataFrame):
-    a, b = df.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
-    from datetime import datetime, timedelta
-
-    return F.lit(datetime(1970, 1, 1) + timedelta(seconds=(a + b) // 2_000_000)).cast("timestamp_ntz")
+    """The whole second half-way between the first and the last event."""
+    zero = datetime(1970, 1, 1)
+    a, b = df.agg(F.min("ts"), F.max("ts")).first()
+    return F.lit(zero + timedelta(seconds=((a - zero) + (b - zero)) // timedelta(seconds=2))).cast("timestamp_ntz")
 
 
 @query(f"SELECT {EVENTS.key} AS pk, ts, {EVENTS.hash()} AS content_hash FROM events WHERE ts >= CAST({_MID} AS TIMESTAMP)")
