@@ -9,7 +9,7 @@ alone decides. Filters take insertions and deletions, so a shard is updated in p
 
 Scale: postings are aggregated before they are shuffled; lookups are dealt to (shard, salt) groups,
 so the holders of one very common line land in many tasks; the number of shards follows the number
-of keys, which bounds a filter and a group. Nothing is gathered on the driver but counts.
+of keys and that of salts the number of postings, which bounds a filter and a group. Nothing is gathered on the driver but counts.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points
 are never dropped; documents are told apart by ``doc_id`` (repeated rows of an id count once, and
@@ -32,8 +32,8 @@ from .common import counted, fresh, map_texts, map_whole, own_columns, stored, t
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys in a shard on average, and the salts that spread the holders of one key.
-SHARD_KEYS, SALTS = 20_000, 16
+#: Keys in a shard on average, the least number of salts that spread the holders of one key, and lookups in a (shard, salt) group on average.
+SHARD_KEYS, SALTS, LOOKUPS = 20_000, 16, 250_000
 DIGEST = 16
 
 
@@ -226,9 +226,11 @@ class LineIndex:
             items = np.frombuffer(b"".join(asked.column("digest").to_pylist()), np.uint8).reshape(-1, DIGEST)
             return asked.filter(pa.array(held.contains_many(items)))
 
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        asked = postings(docs, self.min_chars).select("digest", "doc_id", self._shard().alias("shard"), salt.alias("salt"))
+        asked = postings(docs, self.min_chars)
+        many = max(SALTS, -(-self.segments().count() // (self.shards * LOOKUPS)))
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("int")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        asked = asked.select("digest", "doc_id", self._shard().alias("shard"), salt.alias("salt"))
         had = self.filters.select("shard", "filter", salts.alias("salt"))
         passed = asked.groupBy("shard", "salt").cogroup(had.groupBy("shard", "salt")).applyInArrow(look, asked.schema)
         exact = refs.select("digest", "last", salts.alias("salt"))
