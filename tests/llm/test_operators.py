@@ -40,11 +40,12 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_ann_recall_against_brute_force(spark):
+@pytest.mark.parametrize("room", [ann.QUERY_ROOM, 10])
+def test_ann_recall_against_brute_force(spark, room):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
     x[200:700] = x[200]  # a hot vector: ties go to the smaller ids
-    got = ann.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), lambda v: v % 20 == 0).toPandas()
+    got = ann.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), lambda v: v % 20 == 0, query_room=room).toPandas()
     hits = 0
     for q in range(0, 1500, 20):
         mine = got[got.query_id == q].sort_values("rank")

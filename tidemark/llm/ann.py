@@ -8,7 +8,7 @@ them hold for all queries.
 
 Search: cells are laid out in groups of about ``GROUP`` rows, small cells together, a hot cell (say a
 third of all rows) in as many groups as it needs. A query goes once to each group that holds a probed
-cell. There its asymmetric tables (query against every codeword) rank the probed rows, the best
+cell, and where very many queries meet one group they are parted too. There its asymmetric tables (query against every codeword) rank the probed rows, the best
 ``SHORTLIST`` are rescored on the original vectors in double precision, and the ``k`` best leave the
 group; the last step keeps the ``k`` best of all groups. The layout needs the rows per cell, which
 are as many numbers as there are cells, at most ``MOST_CELLS``.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE, MOST_CELLS, CODEWORDS, SUBSPACE = 32_768, 4096, 256, 4
-TRIALS, COVERAGE, SHORTLIST, GROUP, QUERIES_AT_ONCE = 128, 0.98, 320, 4096, 128
+TRIALS, COVERAGE, SHORTLIST, GROUP, QUERY_ROOM, QUERIES_AT_ONCE = 128, 0.98, 320, 4096, 32_768, 128
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -115,7 +115,7 @@ def _best(scores: np.ndarray, keep: int) -> np.ndarray:
     return (above | (level & (np.cumsum(level, 1) <= room))) & np.isfinite(scores)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", query_room: int = QUERY_ROOM) -> DataFrame:
     """The ``k`` nearest other rows of every row for which ``is_query`` (a condition on ``vec_id``) holds."""
     spark = vectors.sparkSession
     sound = usable(vectors, key, vector)
@@ -212,7 +212,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
 
     left = rows.mapInArrow(deal_rows, "grp long, vec_id long, cell int, codes binary, data binary")
     right = asked.mapInArrow(deal_queries, "grp long, query_id long, data binary, cells array<int>")
-    near = left.groupBy("grp").cogroup(right.groupBy("grp")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    if asked.count() > query_room:
+        # Where more queries meet a group than a task should hold, they are parted, and its rows are repeated for each part.
+        right = stored(right, "asked")
+        parts_of = stored(right.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(query_room)).cast("int").alias("most")), "parts")
+        right = right.join(parts_of, "grp").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("most")).cast("int")).drop("most")
+        left = left.join(parts_of, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).drop("most")
+    else:
+        left, right = left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
+    near = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
     near = near.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
