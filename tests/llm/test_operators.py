@@ -102,6 +102,36 @@ def test_html_hints():
     assert html_text.main_text(page) == "Head\nIt was the best of times and it was the worst of times, said the man who was there for all of it."
 
 
+WRAPPERS = ["content-sidebar-wrap", "has-sidebar", "page-with-menu", "site has-comments", "content-ad-wrap", "page-header-fixed"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_wrappers(name, tag):
+    """A class that names what stands beside the article does not refuse the article."""
+    lines = [f"It was the best of times and it was the worst of times, said the man who was there for all of it, number {i}." for i in range(6)]
+    aside = '<div class="sidebar"><p>More of the same for you, and all of it is to be had at once from the shop on the other side.</p></div>'
+    comments = '<div id="comments"><p>I think that this is the best of all the articles that I have read in the whole of my life.</p></div>'
+    page = f'<div class="{name}"><{tag}>{"".join(f"<p>{x}</p>" for x in lines)}</{tag}>{aside}{comments}</div>'
+    assert html_text.main_text(page) == "\n".join(lines)
+    assert html_text.main_text(f'<{tag}><h1>Head</h1><div class="{name}">{"".join(f"<p>{x}</p>" for x in lines)}</div>{comments}</{tag}>') == "\n".join(["Head", *lines])
+    split = "".join(f'<div class="w{i} text-widget"><p>{x}</p></div>' for i, x in enumerate(lines))
+    assert html_text.main_text(f"<{tag}>{split}</{tag}>{comments}") == "\n".join(lines)
+
+
+def test_html_foreign_articles():
+    """Comments and teasers that are articles stay out, however long, where the page has an article of its own."""
+    long = "<p>I think that this is the best of all the articles that I have read in the whole of my life.</p>" * 5
+    comments = f'<div class="comments"><article class="comment">{long}</article></div>'
+    teasers = f'<div class="related"><article>{long}</article></div>'
+    assert html_text.main_text(f"<article><h1>Head</h1>{'<p>A short one.</p>' * 6}{comments}</article>{teasers}") == "\n".join(["Head", *["A short one."] * 6])
+    assert html_text.main_text(f'<div class="has-sidebar"><article><p>A short one.</p></article></div>{comments}{teasers}') == "A short one."
+    two = "".join(f'<div class="page-with-menu"><article><p>The part {i} of it.</p></article></div>' for i in range(2))
+    assert html_text.main_text(two) == "The part 0 of it.\nThe part 1 of it."
+    deep = '<div class="sidebar">x' * 20_000 + "<article>deep"
+    assert html_text.main_text(deep) == "deep"
+
+
 def test_html_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<article><p>" + "the words of it " * 100_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect()

@@ -2,7 +2,9 @@
 
 A page is cut at block-level tags. The first pass decides blocks by link density, length and the
 density of stop words; elements that hold no article (menus, headers, footers, sidebars, forms,
-notices, adverts, comments, scripts, styles) decide their blocks at once. In the second pass the
+notices, adverts, comments, scripts, styles) decide their blocks at once. A class or an id is only a
+hint of such an element: layout wrappers are named after what stands beside the article, so hints fall
+where they hold most of the prose, and a marked article inside of them is read. In the second pass the
 ambiguous blocks, short ones or such of middling density, take the label of the nearest decided
 neighbours. Where a page marks its article, blocks outside of it are decided against, and prose
 inside of it that has few stop words is ambiguous rather than bad, so it follows its neighbours.
@@ -43,6 +45,12 @@ HINTS = re.compile(
     re.IGNORECASE,
 )
 HEADS = re.compile(r"(?:^|[\s_\-])(?:header|masthead)(?:$|[\s_\-\d])", re.IGNORECASE)
+#: Hints of elements that hold prose or articles of others; the rest of the hints name parts of a layout.
+OTHERS = re.compile(
+    r"(?:^|[\s_\-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription"
+    r"|signup|login|share|sharing|social|related|recommended|comments?|comment-list|disqus|respond|replies|copyright|disclaimer)(?:$|[\s_\-\d])",
+    re.IGNORECASE,
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Frequent words of four languages.
 STOP = frozenset(
@@ -64,26 +72,34 @@ SPACES = re.compile(r"\s+")
 GOOD, BAD, UNSURE = 1, -1, 0
 
 
-def refused(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element by itself holds no article text."""
+def judged(tag: str, attrs: str, in_article: bool) -> tuple[bool, str | None]:
+    """Whether an element by itself holds no article text; the class or id that hints so."""
     if tag in NEVER:
-        return not (tag in ("header", "figcaption") and in_article)
+        return not (tag in ("header", "figcaption") and in_article), None
     if not attrs or tag in ("body", "html") or tag in ARTICLE:
-        return False
+        return False, None
+    hint = None
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and (HINTS.search(value) or not in_article and HEADS.search(value)) or name == "role" and value.lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True, None
+        if name in ("class", "id") and (HINTS.search(value) or not in_article and HEADS.search(value)):
+            for x in value.split():
+                if hint is None and (HINTS.search(x) or HEADS.search(x)) or OTHERS.search(x) and not OTHERS.search(hint):
+                    hint = x
+    return False, hint
 
 
 def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool]], bool]:
     """``(text, characters in links, refused, in an article, heading)`` per block; whether an article is marked."""
     out, parts, stack, opened = [], [], [], Counter()
     linked = link_depth = barred = articles = 0
-    heading = marked = False
+    heading = False
+    # Articles and hinted elements as a tree: (parent, article above, hint, whether the same hint is open in that article).
+    nodes: list[tuple[int, int, str | None, bool]] = [(0, 0, None, False)]
+    place: list[int] = []
+    node = 0
+    hinted = Counter()
     at = breaks = 0
 
     def flush() -> None:
@@ -92,17 +108,21 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool]], bool]
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 out.append((text, min(linked, len(text)), barred > 0, articles > 0, heading))
+                place.append(node)
             parts.clear()
         linked = breaks = 0
 
     def pop() -> None:
-        nonlocal link_depth, barred, articles, heading
-        tag, bad = stack.pop()
+        nonlocal link_depth, barred, articles, heading, node
+        tag, bad, own = stack.pop()
         opened[tag] -= 1
         barred -= bad
         link_depth -= tag == "a"
         articles -= tag in ARTICLE
         heading = heading and tag not in HEADINGS
+        if own:
+            node, above, hint, _ = nodes[own]
+            hinted[above, hint] -= 1
 
     def words(piece: str) -> None:
         nonlocal linked, breaks
@@ -148,10 +168,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool]], bool]
             pop()
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK and tag != "a":
             continue
-        bad = refused(tag, m["attrs"], articles > 0)
-        if tag in ARTICLE and not barred:
-            marked = True
-        stack.append((tag, bad))
+        bad, hint = judged(tag, m["attrs"], articles > 0)
+        own = 0
+        if hint or tag in ARTICLE and not barred:
+            above = node if nodes[node][2] is None else nodes[node][1]
+            own = len(nodes)
+            nodes.append((node, above, hint, hinted[above, hint] > 0))
+            hinted[above, hint] += 1
+            node = own
+        stack.append((tag, bad, own))
         opened[tag] += 1
         barred += bad
         link_depth += tag == "a"
@@ -161,7 +186,87 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, bool, bool, bool]], bool]
         if at < len(page):
             words(page[at:])
     flush()
-    return out, marked
+    if len(nodes) == 1:
+        return out, False
+    if not any(x[2] for x in nodes):
+        return out, True
+    held, marked = refused(out, place, nodes)
+    return [(text, n, bar or held[k], inside, head) for (text, n, bar, inside, head), k in zip(out, place, strict=True)], marked
+
+
+def refused(blocks: list[tuple[str, int, bool, bool, bool]], place: list[int], nodes: list[tuple[int, int, str | None, bool]]) -> tuple[list[bool], bool]:
+    """Whether a hint refuses the blocks directly at each node; whether an article is marked.
+
+    A hint falls where its element, or all elements of the same name together, hold most of the prose of the article or page
+    around them; a name of foreign prose must also hold the first of it, as comments follow what they are about. Of
+    the articles those are marked that the fewest hints speak against, and what is outside of an article does not bar it.
+    """
+    n = len(nodes)
+    good, text, begun, foreign = [0] * n, [0] * n, [0] * n, [False] * n
+    # The first prose, as a page and as an article has it: good blocks, and what an article of the page holds, or holds before long.
+    in_page, in_article = [len(blocks)] * n, [len(blocks)] * n
+    for k in range(1, n):
+        foreign[k] = foreign[nodes[k][0]] or bool(nodes[k][2] and OTHERS.search(nodes[k][2]))
+    for k, (at, block, label) in enumerate(zip(place, blocks, first_pass([(b[0], b[1], b[2], False, b[4]) for b in blocks], False), strict=True)):
+        if not block[2] and block[1] <= MOST_LINKS * len(block[0]):
+            text[at] += len(block[0])
+            above = at if nodes[at][2] is None else nodes[at][1]
+            begun[above] += 0 if block[4] else len(block[0])
+            if label == GOOD:
+                good[at] += len(block[0])
+            if label == GOOD or above and not foreign[at]:
+                in_page[at] = min(in_page[at], k)
+            if label == GOOD or begun[above] >= SHORT:
+                in_article[at] = min(in_article[at], k)
+    alone = list(zip(good, text, strict=True))
+    for k in range(n - 1, 0, -1):
+        up = nodes[k][0]
+        good[up] += good[k]
+        text[up] += text[k]
+        in_page[up] = min(in_page[up], in_page[k])
+        in_article[up] = min(in_article[up], in_article[k])
+
+    def most(above: int, hint: str, some: list[int]) -> bool:
+        good_held, text_held = sum(good[k] for k in some), sum(text[k] for k in some)
+        if OTHERS.search(hint):
+            first = in_article if above else in_page
+            return (2 * good_held > good[above] or not good[above]) and 2 * text_held > text[above] and min(first[k] for k in some) == first[above]
+        # Inside an article all text counts, since short and unusual paragraphs are taken there.
+        return 2 * text_held > text[above] if above else 2 * good_held > good[above]
+
+    alike: dict[tuple[int, str], list[int]] = {}
+    for k, (_, above, hint, _) in enumerate(nodes):
+        if hint:
+            alike.setdefault((above, hint), []).append(k)
+    falls = [False] * n
+    for (above, hint), members in alike.items():
+        some = [k for k in members if most(above, hint, [k])]
+        if not some and most(above, hint, [k for k in members if not nodes[k][3]]):
+            some = members
+        for k in some:
+            falls[k] = True
+
+    # Hints against an article: none, of the layout, of foreign prose.
+    rank, inner = [0] * n, [0] * n
+    own = {}
+    for k in range(1, n):
+        up, _, hint, _ = nodes[k]
+        rank[k] = max(rank[up], 0 if not hint or falls[k] else 2 if OTHERS.search(hint) else 1)
+        inner[k] = k if hint is None else inner[up] if falls[k] else 0
+        if hint is None:
+            own[k] = (0, 0)
+    for k, (a, b) in enumerate(alone):
+        if inner[k]:
+            c, d = own[inner[k]]
+            own[inner[k]] = (a + c, b + d)
+    # Comments and teasers may be articles with more prose than the one of the page.
+    some = [k for k, x in own.items() if x[1] and rank[k] < 2] or [k for k, x in own.items() if x[1]] or list(own)
+    least = min((rank[k] for k in some if own[k][0]), default=min((rank[k] for k in some), default=0))
+    held = [False] * n
+    for k in range(1, n):
+        up, _, hint, _ = nodes[k]
+        held[k] = (held[up] and rank[k] > least) if hint is None else held[up] or not falls[k]
+    return held, bool(own)
 
 
 def stop_density(text: str) -> float:
