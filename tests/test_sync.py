@@ -104,6 +104,30 @@ def test_engine_events(spark):
         e.push()
 
 
+@pytest.mark.parametrize("most", [1000, 7])
+def test_engine_events_name_all_keys(spark, most):
+    from pyspark.sql import functions as F
+
+    n, seen, failed = 2503, [], []
+    many = MemoryStore({"items": spark.range(n).select("id", F.lit("new").alias("name"), F.lit("2024-01-01").alias("updated_at"))}, {"items": TableSpec("items", ["id"])})
+    e = S.Engine(store(spark, []), many, most_keys=most)
+
+    def fail(event):
+        failed.append(event)
+        raise ValueError
+
+    e.on("table-changed", fail)
+    e.on("table-changed", seen.append)
+    assert e.pull()[0].pulled == n and e.local.row_count("items") == n
+    assert sorted(int(k) for x in seen for k in x["changedPks"]) == list(range(n)) and failed == seen
+    parts = -(-n // most)
+    assert [(x["rows"], x["part"], x["parts"]) for x in seen] == [(n, i, parts) for i in range(1, parts + 1)] and max(len(x["changedPks"]) for x in seen) == most
+    e.pull()
+    assert len(seen) == parts
+    with pytest.raises(C.ConfigError):
+        S.Engine(many, most_keys=0)
+
+
 def test_parquet_store_versions(spark, tmp_path):
     s = parquet(spark, tmp_path / "s", A)
     before = s.table("items")

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable
+import threading
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import diff as D
 from tidemark.operators import merge as M
-from tidemark.plans.config import ConflictPolicy, NoPrimaryKey, NotFound, SyncConfig
+from tidemark.plans.config import ConfigError, ConflictPolicy, NoPrimaryKey, NotFound, SyncConfig
 
 log = logging.getLogger("tidemark")
 
@@ -24,7 +26,6 @@ class SyncResult:
     pulled: int = 0
     stats: dict | None = None
     detail: dict | None = None
-    changed: list[str] | None = None
 
     @property
     def has_changes(self) -> bool:
@@ -97,10 +98,10 @@ def alike(a, b, name: str, config: SyncConfig) -> bool:
     return marks[0] == marks[1]
 
 
-def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry_run: bool = False, verbose: bool = False, progress: Progress | None = None, most_keys: int = 0) -> SyncResult:
+def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry_run: bool = False, verbose: bool = False, progress: Progress | None = None, tell: Callable[[str, int, Iterator[str]], None] | None = None) -> SyncResult:
     """Compare once, then write the sides that the direction and the policy change.
 
-    With ``most_keys`` the result names up to so many of the keys that were pulled.
+    After rows were pulled, ``tell`` gets the table, their number and all their keys, which come to the driver a partition at a time.
 
     The comparison is held while both sides are rewritten, so that the second one does not see the first.
     """
@@ -126,8 +127,9 @@ def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry
                 side.replace(name, moved(source, target, keys, pk, config))
                 progress.batch(name, n)
                 progress.finish(name)
-        changed = [r["pk"] for r in D.rows_to_pull(found, policy).select("pk").limit(most_keys).collect()] if pull and most_keys else None
-        return SyncResult(name, push, pull, changed=changed)
+        if pull and tell:
+            tell(name, pull, (r["pk"] for r in D.rows_to_pull(found, policy).select("pk").toLocalIterator()))
+        return SyncResult(name, push, pull)
     finally:
         found.unpersist()
 
@@ -201,7 +203,10 @@ def change_feed(diff: DataFrame, table: str, policy: ConflictPolicy, source: str
 
 @dataclass
 class Engine:
-    """A local store and an optional target, with the calls of an application: push, pull, sync, diff, events."""
+    """A local store and an optional target, with the calls of an application: push, pull, sync, diff, events.
+
+    An event names at most ``most_keys`` keys; a table with more changed keys is told in consecutive events.
+    """
 
     local: object
     remote: object | None = None
@@ -209,10 +214,17 @@ class Engine:
     most_keys: int = 1000
 
     def __post_init__(self):
+        if self.most_keys < 1:
+            raise ConfigError("most_keys must be positive")
         self._listeners: list[Callable[[dict], None]] = []
+        self._telling = threading.RLock()
 
     def on(self, event: str, call: Callable[[dict], None]) -> Callable[[], None]:
-        """Hear of ``table-changed``; the answer ends it."""
+        """Hear of ``table-changed``; the answer ends it.
+
+        After a pull or sync wrote a table, events follow that together name all of its changed keys: ``part`` counts from
+        1 to ``parts``, ``rows`` is the number of all keys. Events come one at a time; an error of a listener is logged.
+        """
         if event != "table-changed":
             raise NotFound(f"no event {event!r}")
         self._listeners.append(call)
@@ -221,13 +233,18 @@ class Engine:
     def _run(self, direction: str, **more) -> list[SyncResult]:
         if self.remote is None:
             raise NotFound("there is no target")
-        out = sync_all(self.local, self.remote, self.config, direction, most_keys=self.most_keys if self._listeners else 0, **more)
-        if direction != "push" and not more.get("dry_run"):
-            for r in out:
-                if r.pulled:
+
+        def tell(table: str, rows: int, keys: Iterator[str]) -> None:
+            parts = -(-rows // self.most_keys)
+            with self._telling:
+                for part, some in enumerate(batched(keys, self.most_keys), 1):
                     for call in list(self._listeners):
-                        call({"table": r.table, "rows": r.pulled, "changedPks": r.changed or [], "removedPks": [], "source": direction})
-        return out
+                        try:
+                            call({"table": table, "rows": rows, "changedPks": list(some), "removedPks": [], "source": direction, "part": part, "parts": parts})
+                        except Exception:
+                            log.exception("a listener failed on table %s", table)
+
+        return sync_all(self.local, self.remote, self.config, direction, tell=tell if self._listeners else None, **more)
 
     def push(self, **more) -> list[SyncResult]:
         return self._run("push", **more)
