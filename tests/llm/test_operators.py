@@ -102,6 +102,11 @@ def test_html_hints():
     assert html_text.main_text(page) == "Head\nIt was the best of times and it was the worst of times, said the man who was there for all of it."
 
 
+@pytest.mark.parametrize("empty", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<SVG a='>' b=1 c />", "<math/>", "<svg a=x/ b />", "<svg a=x/>y</svg>", "<svg><path d=''/></svg>", "<math>x</math>"])
+def test_html_self_closed(empty):
+    assert html_text.main_text(f"<article><p>One {empty} two.</p><p>Three.</p>") == "One two.\nThree."
+
+
 WRAPPERS = ["content-sidebar-wrap", "has-sidebar", "page-with-menu", "site has-comments", "content-ad-wrap", "page-header-fixed"]
 
 

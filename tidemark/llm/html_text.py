@@ -62,8 +62,9 @@ STOP = frozenset(
 #: Lengths in code points; shares of words.
 SHORT, LONG, LOW_STOP, HIGH_STOP, MOST_LINKS = 70, 200, 0.10, 0.20, 0.35
 
+#: A self-closed svg or math element is empty; a slash at the end of an unquoted value closes nothing.
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:--!?>|\Z)|<(?:svg|math)(?=[\s/])(?:\s++|/(?!>)|[^\s\"'>/=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+/>|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
