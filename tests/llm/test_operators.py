@@ -107,6 +107,25 @@ def test_html_self_closed(empty):
     assert html_text.main_text(f"<article><p>One {empty} two.</p><p>Three.</p>") == "One two.\nThree."
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Это было лучшее изо всех времён, это было худшее изо всех времён; это был век мудрости, это был век глупости.",
+        "那是最美好的时代，那是最糟糕的时代；那是智慧的年头，那是愚昧的年头；那是信仰的时期。",
+        "Była to najlepsza i najgorsza z epok, wiek rozumu i wiek szaleństwa, czas wiary i czas zwątpienia, pora światła.",
+    ],
+)
+@pytest.mark.parametrize("name", ["post", "has-sidebar"])
+def test_html_other_languages(line, name):
+    links = "<ul>" + "<li><a href=1>Один из многих других материалов, которые надо прочитать сегодня же вечером</a></li>" * 3 + "</ul>"
+    assert html_text.main_text(f'{links}<div class="{name}"><h2>1</h2><p>{line}</p><p>{line}</p></div><div class="comments">{line}</div>{links}') == f"1\n{line}\n{line}"
+    english = "The rights of all the texts are with the people who wrote them, and they are to be asked for it."
+    if not line.startswith("B"):
+        assert html_text.main_text(f"{links}<p>{line}</p><p>{english}</p>") == f"{line}\n{english}"
+    junk = "shoes boots sandals sneakers slippers heels loafers trainers cheap prices discount outlet"
+    assert html_text.main_text(f"<p>{english}</p>" * 2 + f"<div>{junk}</div>") == f"{english}\n{english}"
+
+
 WRAPPERS = ["content-sidebar-wrap", "has-sidebar", "page-with-menu", "site has-comments", "content-ad-wrap", "page-header-fixed"]
 
 

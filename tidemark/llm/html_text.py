@@ -8,6 +8,8 @@ where they hold most of the prose, and a marked article inside of them is read.
 ambiguous blocks, short ones or such of middling density, take the label of the nearest decided
 neighbours. Where a page marks its article, blocks outside of it are decided against, and prose
 inside of it that has few stop words is ambiguous rather than bad, so it follows its neighbours.
+Stop words are those of four languages: blocks in other scripts, and pages where no block reaches
+their level, are decided by length and links alone.
 
 Work is one map over the pages: nothing is shuffled, and memory is bounded by the longest page.
 
@@ -70,6 +72,9 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z\-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"\s+")
+#: Letters of other scripts than Latin; those that stand for syllables or words count as three.
+OTHER_SCRIPT = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff\uff21-\uff5a]")
+WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 GOOD, BAD, UNSURE = 1, -1, 0
 
 
@@ -275,20 +280,31 @@ def stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()[]«»…*#%$&|") in STOP for w in words) / max(1, len(words))
 
 
+def other_script(text: str) -> bool:
+    """Whether at least half of the letters are not Latin."""
+    return not text.isascii() and 2 * len(OTHER_SCRIPT.findall(text)) >= max(1, sum(map(str.isalpha, text)))
+
+
 def first_pass(blocks: list[tuple[str, int, bool, bool, bool]], marked: bool) -> list[int]:
     """Labels by each block's own measures."""
-    out = []
-    for text, linked, barred, inside, heading in blocks:
+    out, stops = [], {}
+    for k, (text, linked, barred, inside, heading) in enumerate(blocks):
         if barred or marked and not inside or linked > MOST_LINKS * len(text):
             out.append(BAD)
+            continue
+        if not heading and other_script(text) and len(text) + 2 * len(WIDE.findall(text)) >= SHORT:
+            out.append(GOOD)
         elif heading or len(text) < SHORT:
             out.append(UNSURE if inside or heading or not linked else BAD)
         else:
-            stops = stop_density(text)
-            if stops >= HIGH_STOP or stops >= LOW_STOP and len(text) >= LONG:
+            stops[k] = stop_density(text)
+            if stops[k] >= HIGH_STOP or stops[k] >= LOW_STOP and len(text) >= LONG:
                 out.append(GOOD)
             else:
-                out.append(UNSURE if inside or stops >= LOW_STOP else BAD)
+                out.append(UNSURE if inside or stops[k] >= LOW_STOP else BAD)
+    if stops and max(stops.values()) < LOW_STOP:
+        for k in stops:
+            out[k] = GOOD
     return out
 
 
