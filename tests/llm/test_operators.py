@@ -577,6 +577,16 @@ def test_links_messy(spark, messy):
     assert left.columns == messy.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == sorted([0, 2, 5, 6, 7, 8, 9, 10, None], key=str)
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Rows that share an id but not their text are documents of their own; what stays does not depend on the order of the rows."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, one, "en", "s", 1), (5, two, "en", "s", 2), (5, two + " x", "en", "s", 3), (5, one, "en", "r", 4), (3, one, "en", "s", 5), (7, two, "en", "s", 6), (9, three, "en", "s", 7), (9, three, "en", "t", 8), (None, one, "en", "s", 9)]
+    got = [sorted(tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(x, DOCS)).collect() if r["doc_id"]) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [3, 5, 9]
+    assert [r[1] for r in got[0]] in ([one, two, three], [one, two + " x", three])
+
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["comp"] for r in ngram_join.components(spark.createDataFrame(chain, "a long, b long")).collect()}

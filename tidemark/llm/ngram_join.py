@@ -248,8 +248,24 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, but only the smallest id of each class; rows without an id stay."""
-    name = fresh(docs, "__gone")
-    gone = join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
-    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
-    return left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """The documents, with all their columns, but only the smallest id of each class; rows without an id stay.
+
+    Rows that share an id but not their text are documents of their own, in the order of their texts' hashes, so that no
+    text is lost that is similar to no other. Of rows that share both, the one whose columns have the least hash stays.
+    """
+    ident = F.col("doc_id").cast("long")
+    name, key, mark, other, row = (fresh(docs, x) for x in ("__gone", "__key", "__mark", "__other", "__row"))
+    if not docs.filter(ident.isNotNull()).groupBy(ident.alias(name)).count().filter("count > 1").limit(1).count():
+        gone = join(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(gone.hint("merge"), ident == F.col(name), "left_anti")
+    marked = docs.withColumn(mark, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    # Numbers in the order of a sorted table stand for the ids, so that the least number has the smallest id.
+    keys = marked.filter(ident.isNotNull()).select(ident.alias(name), F.col(mark).alias(other)).distinct().orderBy(name, other)
+    keys = stored(keys.withColumn(key, F.monotonically_increasing_id()), "keys")
+    keyed = stored(marked.join(keys.hint("merge"), (ident == F.col(name)) & (F.col(mark) == F.col(other)), "left").drop(name, mark, other), "keyed")
+    gone = join(keyed.select(F.col(key).alias("doc_id"), "text"), threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    left = keyed.join(gone.hint("merge"), F.col(key) == F.col(name), "left_anti")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    least = F.xxhash64(*(c for c, f in zip(columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()))
+    one = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*columns), least).alias(row)).select(f"{row}.*")
+    return left.filter(F.col(key).isNull()).select(*columns).unionByName(one)
