@@ -58,6 +58,77 @@ def test_ann_recall_against_brute_force(spark, room):
     assert hits / (75 * 20) >= 0.9
 
 
+def brute_near(x, q, k=20):
+    s = (x.astype(float) * x[q].astype(float)).sum(1)
+    s[q] = -np.inf
+    return np.lexsort((np.arange(len(x)), -s))[:k], s
+
+
+def found_near(spark, x, is_query=lambda v: v % 20 == 0):
+    out = collections.defaultdict(list)
+    for r in ann.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), is_query).orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_ann_small_cells_are_filled_up(spark):
+    """Orthogonal centres, most rows at one of them: a query in a cell of three rows gets its twenty all the same."""
+    rng = np.random.default_rng(2)
+    x = np.zeros((1000, 32), np.float32)
+    x[np.arange(1000), np.where(np.arange(1000) < 90, np.arange(1000) // 3 + 1, 0)] = 1
+    x += rng.normal(0, 1e-3, x.shape).astype(np.float32)
+    got = found_near(spark, x)
+    assert sorted(got) == list(range(0, 1000, 20)) and all(len(v) == 20 for v in got.values())
+    for q in range(0, 90, 20):
+        assert {v for v, _ in got[q][:2]} == set(range(q // 3 * 3, q // 3 * 3 + 3)) - {q}
+
+
+@pytest.mark.parametrize("size", [1e20, 1e-20, 3e38])
+def test_ann_large_and_small_vectors(spark, size):
+    x = (np.random.default_rng(3).uniform(-1, 1, size=(600, 16)) * size).astype(np.float32)
+    got = found_near(spark, x)
+    hits = 0
+    for q in range(0, 600, 20):
+        best, s = brute_near(x, q)
+        assert [v for _, v in got[q]] == [s[v] for v, _ in got[q]] or np.allclose([v for _, v in got[q]], [s[v] for v, _ in got[q]], rtol=1e-12)
+        hits += len(set(best.tolist()) & {v for v, _ in got[q]})
+    assert hits >= 0.9 * 30 * 20
+
+
+def test_ann_mixed_sizes_are_complete(spark):
+    x = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
+    x[::3] *= np.float32(1e30)
+    x[1::3] *= np.float32(1e-30)
+    assert all(len(v) == 20 for v in found_near(spark, x).values())
+
+
+def test_ann_recall_on_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24)) * 3
+    x = (centres[rng.choice(40, 3000, p=np.arange(1, 41) / 820)] + rng.normal(size=(3000, 24)) * 0.3).astype(np.float32)
+    got = found_near(spark, x)
+    share = [len(set(brute_near(x, q)[0].tolist()) & {v for v, _ in got[q]}) / 20 for q in range(0, 3000, 20)]
+    assert all(len(v) == 20 for v in got.values()) and np.mean(share) >= 0.9
+
+
+def test_ann_repeated_ids(spark):
+    """One row of an id holds: the one whose vector is least in the order of its bytes."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist(), 0) for i in range(60)]
+    rows += [(20, rng.normal(size=4).astype(np.float32).tolist(), 0), (3, rng.normal(size=4).astype(np.float32).tolist(), 0), (4, None, 0)]
+    held = {}
+    for i, v, _ in rows:
+        if v is not None:
+            held[i] = min([np.array(v, "<f4").tobytes(), *([held[i]] if i in held else [])])
+    x = np.array([np.frombuffer(held[i], "<f4") for i in range(60)])
+    for order in (rows, rows[::-1]):
+        got = ann.search(vectors(spark, order), lambda v: v % 20 == 0).orderBy("query_id", "rank").collect()
+        for q in (0, 20, 40):
+            best, s = brute_near(x, q)
+            mine = [r for r in got if r["query_id"] == q]
+            assert [r["vec_id"] for r in mine] == best.tolist() and np.allclose([r["score"] for r in mine], s[best], rtol=1e-12)
+
+
 def test_ann_messy(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (20, [0.0, 1.0], None), (1, [1.0, 1.0], 0), (2, [1.0, 1.0], 0), (3, None, 0), (4, [0.0, 0.0], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [None, 1.0], 0), (8, [1.0], 0), (None, [1.0, 1.0], 0), (9, [], 0), (1, [1.0, 1.0], 0)]

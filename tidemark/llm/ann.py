@@ -4,7 +4,9 @@ Fit, on a bounded sample (the ``SAMPLE`` vectors with the smallest hash of their
 and, for the residuals to them, one codebook per subspace. Every vector is then assigned to its cell
 and coded. The number of cells a query probes is not guessed: for ``TRIALS`` queries the true
 neighbours are found by brute force over all rows, and the fewest probes that reach ``COVERAGE`` of
-them hold for all queries.
+them all, and ``OWN_COVERAGE`` of its own for all but ``MISSED`` of the trial queries, hold for all queries. A
+query whose cells hold few rows goes on to the next nearest cells until they hold ``SHORTLIST`` other rows
+or no cell is left, so it gets ``k`` rows wherever there are as many.
 
 Search: cells are laid out in groups of about ``GROUP`` rows, small cells together, a hot cell (say a
 third of all rows) in as many groups as it needs. A query goes once to each group that holds a probed
@@ -13,12 +15,15 @@ cell, and where very many queries meet one group they are parted too. There its
 group; the last step keeps the ``k`` best of all groups. The layout needs the rows per cell, which
 are as many numbers as there are cells, at most ``MOST_CELLS``.
 
-Nearness is the inner product; ties go to the smaller id, also at the edge of a shortlist.
+Nearness is the inner product; ties go to the smaller id, also at the edge of a shortlist. What is fitted,
+coded and estimated is scaled by powers of two, the rows by one for all and each query by its own, so that
+large and small vectors stay within single precision; scores are those of the original vectors.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another
-length than most, take no part, nor do rows without an id; a repeated id is one neighbour, by its best
-row; with fewer than ``k`` candidates all are returned; an empty table gives an empty result; other
-columns are ignored.
+length than most, take no part, nor do rows without an id; of the rows of one id, whether it is asked or found, the one
+whose vector is least in the order of its bytes holds and the others take no part; with fewer than ``k``
+candidates all are returned; a score beyond double precision is infinite, and an undefined one ranks last;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE, MOST_CELLS, CODEWORDS, SUBSPACE = 32_768, 4096, 256, 4
-TRIALS, COVERAGE, SHORTLIST, GROUP, QUERY_ROOM, QUERIES_AT_ONCE = 128, 0.98, 320, 4096, 32_768, 128
+TRIALS, COVERAGE, OWN_COVERAGE, MISSED = 128, 0.98, 0.9, 0.02
+SHORTLIST, GROUP, QUERY_ROOM, QUERIES_AT_ONCE = 320, 4096, 32_768, 128
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -108,38 +114,57 @@ def _unpack(column: pa.ChunkedArray | pa.Array, kind, width: int) -> np.ndarray:
 def _best(scores: np.ndarray, keep: int) -> np.ndarray:
     """Mask of the ``keep`` largest of each row, ties to the left."""
     if scores.shape[1] <= keep:
-        return np.isfinite(scores)
+        return scores > -np.inf
     edge = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep, None]
     above, level = scores > edge, scores == edge
     room = keep - above.sum(1, keepdims=True)
-    return (above | (level & (np.cumsum(level, 1) <= room))) & np.isfinite(scores)
+    return (above | (level & (np.cumsum(level, 1) <= room))) & (scores > -np.inf)
+
+
+def _measure(exact: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Inner products in double precision; an undefined one is below all others."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(exact @ data.T, nan=-np.finfo(float).max, posinf=np.inf, neginf=-np.finfo(float).max)
+
+
+def _own_scale(vectors: np.ndarray) -> np.ndarray:
+    """Each row by a power of two, so that its largest component is between a half and one."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0, keepdims=True))[1]).astype(np.float32)
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", query_room: int = QUERY_ROOM) -> DataFrame:
     """The ``k`` nearest other rows of every row for which ``is_query`` (a condition on ``vec_id``) holds."""
     spark = vectors.sparkSession
     sound = usable(vectors, key, vector)
-    sizes = sound.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    largest = F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v).cast("double"))))
+    sizes = sound.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("count"), largest.alias("largest")).orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], RESULT)
     dim, total = sizes[0]["dim"], sizes[0]["count"]
+    down = -int(np.frexp(sizes[0]["largest"])[1])  # the power of two that brings all components into one
     kind = "<f4" if dict(sound.dtypes)["vector"] == "array<float>" else "<f8"
     sound = sound.filter(F.size("vector") == dim)
     sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
-    index = train(_matrix(sample.column(0).combine_chunks(), dim, np.float32), total)
+    index = train(np.ldexp(_matrix(sample.column(0).combine_chunks(), dim, np.float64), down).astype(np.float32), total)
 
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1), dim, kind)
-                cells, codes = index.encode(x.astype(np.float32))
+                cells, codes = index.encode(np.ldexp(x.astype(np.float64), down).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "cell", "codes", "data"])
 
     rows = stored(sound.mapInArrow(encode, "vec_id long, cell int, codes binary, data binary"), "ivf")
+    repeated = stored(rows.groupBy("vec_id").count().filter("count > 1").select("vec_id"), "repeated")
+    if not repeated.isEmpty():
+        one = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("data", "cell", "codes")).alias("row"))
+        one = one.select("vec_id", "row.cell", "row.codes", "row.data")
+        rows = stored(rows.join(repeated, "vec_id", "left_anti").unionByName(one), "ivf")
     asked = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "data")
     probes = _probes(rows, asked, index, k, kind, dim)
 
     held = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most one row per cell
+    filled = np.array([held.get(c, 0) for c in range(len(index.centres))], np.int64)
     first, parts = np.zeros(len(index.centres), np.int64), np.ones(len(index.centres), np.int64)
     group = room = 0
     for cell in range(len(index.centres)):
@@ -164,13 +189,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
 
     def deal_queries(batches):
         for batch in batches:
-            x = _unpack(batch.column(1), kind, dim).astype(np.float32)
-            near = x @ index.centres.T
-            take = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+            x = _own_scale(_unpack(batch.column(1), kind, dim).astype(np.float64))
+            near = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")
+            # Cells up to the one with which SHORTLIST rows and the query's own are met.
+            most = np.maximum(probes, 1 + (np.cumsum(filled[near], axis=1) <= SHORTLIST).sum(1))
+            take = [cells[:n] for cells, n in zip(near, most, strict=True)]
             out: list[list] = [[], [], [], []]
             for query, data, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), take, strict=True):
                 to: dict[int, list[int]] = {}
-                for c in cells.tolist():
+                for c in cells[filled[cells] > 0].tolist():
                     for g in range(first[c], first[c] + parts[c]):
                         to.setdefault(int(g), []).append(c)
                 for g, cs in to.items():
@@ -191,7 +218,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
             for at in range(0, queries.num_rows, QUERIES_AT_ONCE):
                 part = queries.slice(at, QUERIES_AT_ONCE)
                 exact = _unpack(part.column("data"), kind, dim).astype(np.float64)
-                q = exact.astype(np.float32)
+                q = _own_scale(exact)
                 query_ids = part.column("query_id").to_numpy()
                 probed = np.zeros((len(q), len(own)), bool)
                 for i, cells in enumerate(part.column("cells").to_pylist()):
@@ -203,7 +230,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 short = _best(score, SHORTLIST)
                 for i in range(len(q)):
                     pick = np.flatnonzero(short[i])
-                    value = (data[pick] * exact[i]).sum(1)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        value = np.nan_to_num((data[pick] * exact[i]).sum(1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                     order = np.lexsort((ids[pick], -value))[:k]
                     found[0] += [query_ids[i]] * len(order)
                     found[1] += ids[pick[order]].tolist()
@@ -221,13 +249,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     else:
         left, right = left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
     near = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    near = near.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _probes(rows: DataFrame, asked: DataFrame, index: Index, k: int, kind: str, dim: int) -> int:
-    """The fewest cells that hold ``COVERAGE`` of the true neighbours of the trial queries."""
+    """The fewest cells that hold ``COVERAGE`` of the true neighbours of the trial queries, and ``OWN_COVERAGE`` of each but a few."""
     trial = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIALS).toArrow()
     if not trial.num_rows:
         return 1
@@ -249,7 +276,7 @@ def _probes(rows: DataFrame, asked: DataFrame, index: Index, k: int, kind: str,
             v, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data = _unpack(batch.column(2), kind, dim).astype(np.float64)
             for a in range(0, len(v), 4096):
-                score = exact @ data[a : a + 4096].T
+                score = _measure(exact, data[a : a + 4096])
                 score[ids[:, None] == v[None, a : a + 4096]] = -np.inf
                 q, at = np.nonzero(_best(score, k))
                 best = [cut([*best, (q, v[a + at], c[a + at].astype(np.int64), score[q, at])])]
@@ -261,8 +288,13 @@ def _probes(rows: DataFrame, asked: DataFrame, index: Index, k: int, kind: str,
     true = near.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "cell").collect()  # at most TRIALS x k rows
     if not true:
         return 1
-    order = np.argsort(-(exact.astype(np.float32) @ index.centres.T), axis=1, kind="stable")
+    order = np.argsort(-(_own_scale(exact) @ index.centres.T), axis=1, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(order), 0), 1)
-    ranks = np.sort([place[r["q"], r["cell"]] for r in true])
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(COVERAGE * len(ranks))) - 1)]) + 1
+    query, ranks = np.array([r["q"] for r in true]), np.array([place[r["q"], r["cell"]] for r in true])
+
+    def share(values: np.ndarray, part: float) -> int:
+        return int(np.sort(values)[max(0, int(np.ceil(part * len(values))) - 1)])
+
+    each = np.array([share(ranks[query == q], OWN_COVERAGE) for q in np.unique(query)])
+    return max(share(ranks, COVERAGE), share(each, 1 - MISSED)) + 1
