@@ -503,13 +503,78 @@ def repeated_texts(n=150):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_repeats_against_brute_force(spark, hot):
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 3, 1])
+def test_repeats_against_brute_force(spark, chunk):
+    """Small chunks force a boundary into every gram."""
     texts = repeated_texts()
-    got = [tuple(r)[1:] for r in suffix_dedup.digest_report(docs(spark, texts), hot).orderBy("doc_id").collect()]
+    got = [tuple(r)[1:] for r in suffix_dedup.digest_report(docs(spark, texts), chunk).orderBy("doc_id").collect()]
     assert got == brute_spans([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 5])
+def test_repeats_of_a_template(spark, chunk):
+    """Many contexts of one gram: a passage with other bytes close before and behind it, and near copies of it."""
+    rng = random.Random(9)
+    base = bytes(rng.choice(b"abcdefghij ") for _ in range(420)).decode()
+    texts = []
+    for _ in range(120):
+        a = rng.randint(0, 230)
+        part = list(base[a : a + rng.randint(160, 240)])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            part[rng.randrange(len(part))] = rng.choice("XYZ")
+        texts.append("".join(rng.choice("klmn") for _ in range(rng.randint(0, 90))) + "".join(part) + "".join(rng.choice("opqr") for _ in range(rng.randint(0, 90))))
+    got = [tuple(r)[1:] for r in suffix_dedup.digest_report(docs(spark, texts), chunk).orderBy("doc_id").collect()]
+    assert got == brute_spans([t.encode() for t in texts])
+
+
+@pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 97])
+def test_anchors_stand_for_every_string(block):
+    """Each string has its anchor at the same offset wherever it stands, or equals one a period before it."""
+    rng = random.Random(11)
+    for _ in range(60):
+        parts = [rng.choice(["a", "-=", "abc d", "x" * 70 + "y" * 30, "".join(rng.choice("ab") for _ in range(rng.randint(1, 260)))]) * rng.randint(1, 12) for _ in range(rng.randint(1, 6))]
+        text = "".join(parts).encode()
+        at, h, hi, lo, runs = suffix_dedup.anchors(np.frombuffer(text, np.uint8), block)
+        starts = {}
+        for a, x, first, last in zip(at.tolist(), h.tolist(), hi.tolist(), lo.tolist(), strict=True):
+            for d in range(last, first + 1):
+                assert a - d not in starts
+                starts[a - d] = (d, x)
+        by = {}
+        for i in range(len(text) - 199):
+            if i in starts:
+                assert by.setdefault(text[i : i + 200], starts[i]) == starts[i]
+        for i in range(len(text) - 199):
+            assert text[i : i + 200] in by
+            assert i in starts or any(a <= i and i + 200 <= b for a, b in runs)
+        for a, b in runs:
+            gone = np.zeros(len(text), bool)
+            for i in range(a, b - 199):
+                if text.find(text[i : i + 200]) != i or text.find(text[i : i + 200], i + 1) >= 0:
+                    gone[i : i + 200] = True
+            assert gone[a:b].all()
+
+
+def test_repeats_of_very_long_texts(spark):
+    """50 MB in a row; prose loses nothing but what is planted."""
+    rng = np.random.default_rng(12)
+    words = np.array(["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (5000, 6))])
+    prose = " ".join(words[rng.integers(0, 5000, 50_000_000 // 7)].tolist())
+    texts = ["-=" * 25_000_000, "a" * 50_000_000, prose + "|" + prose[1000:1300], "-=" * 100, "a" * 201, "a" * 199]
+    want = [(len(t), len(t), 1) for t in texts[:2]] + [(len(texts[2]), 600, 2), (200, 200, 1), (201, 201, 1), (199, 0, 0)]
+    got = suffix_dedup.digest_report(docs(spark, texts).repartition(6, "doc_id")).orderBy("doc_id").collect()
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got] == want
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefgh") for _ in range(400))
+    other = "".join(rng.choice("abcdefgh") for _ in range(400))
+    texts, ids = [base, other, base[50:] + "x", other, base, "u" + other[:250]], [1, 1, 1, None, None, None]
+    got = sorted((tuple(r) for r in suffix_dedup.digest_report(docs(spark, texts, ids)).collect()), key=repr)
+    assert got == sorted(((i, *w) for i, w in zip(ids, brute_spans([t.encode() for t in texts]), strict=True)), key=repr)
+
+
 def test_repeats_messy(spark, messy):
     small = messy.filter("doc_id is null or doc_id <> 7")
     rows = small.collect()
