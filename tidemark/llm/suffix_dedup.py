@@ -78,14 +78,11 @@ def _slide(values: np.ndarray, width: int, of) -> np.ndarray:
     return of(out[:n], out[width - span : width - span + n]) if span < width else out
 
 
-def _periods(at: np.ndarray, h: np.ndarray) -> list[int]:
-    """Distances of at most ``REST`` between anchors with equal grams, ascending."""
-    found = np.zeros(REST + 1, np.int64)
-    for lag in range(1, min(LAGS, len(at) - 1) + 1):
-        gap = at[lag:] - at[:-lag]
-        near = np.flatnonzero(gap <= REST)
-        found += np.bincount(gap[near[h[at[lag:][near]] == h[at[near]]]], minlength=REST + 1)
-    return np.flatnonzero(found).tolist()
+def _periods(at: np.ndarray, h: np.ndarray, lag: int) -> list[int]:
+    """Distances of at most ``REST`` between anchors with equal grams that are ``lag`` apart, ascending."""
+    gap = at[lag:] - at[:-lag]
+    gap[(gap > REST) | (h[at[lag:]] != h[at[:-lag]])] = 0
+    return np.flatnonzero(np.bincount(gap, minlength=1)[1:]).tolist()
 
 
 def _runs(data: np.ndarray, period: int) -> list[tuple[int, int]]:
@@ -107,20 +104,17 @@ def anchors(data: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarra
         key = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
         place = (_slide(key, REST + 1, np.minimum) & PLACE).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        periods = _periods(place[first], h)
-        if periods:
-            skip = np.zeros(n, bool)
-            early = max(0, begin - REST)
-            for p in periods:
-                at, last = place[first], np.append(first[1:], n) - 1
-                live = ~(skip[first] & skip[last])
-                tied = any(((gap := at[lag:] - at[:-lag]) == p)[live[lag:]].any() for lag in range(1, min(LAGS, len(at) - 1) + 1))
-                for a, b in _runs(data[early : begin + n + SPAN - 1], p) if tied else ():
+        skip = np.zeros(n, bool)
+        early = max(0, begin - REST)
+        at, last = place[first], np.append(first[1:], n) - 1
+        for lag in range(1, LAGS + 1):
+            for p in (k + 1 for k in _periods(at, h, lag)):
+                for a, b in _runs(data[early : begin + n + SPAN - 1], p):
                     runs.append((early + a, early + b))
                     skip[max(0, early + a + p - begin) : max(0, early + b - SPAN + 1 - begin)] = True
-            live = np.flatnonzero(~skip)
-        else:
-            live = np.arange(n)
+            live = ~(skip[first] & skip[last])
+            first, last, at = first[live], last[live], at[live]
+        live = np.flatnonzero(~skip)
         if len(live):
             place = place[live]
             first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
