@@ -451,8 +451,9 @@ def test_packing(spark, messy, sf_small):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    for d in (messy, spark.read.parquet(f"{sf_small}/documents.parquet")):
+    end = "<|endoftext|>"
+    special = docs(spark, [end, f"{end}a word", f"some  {end}  words", f"the end {end}", f"{end}{end}", f"a{end}{end} b\n{end}", f"<{end}>", end[:-1], end.upper(), f" {end}'s", f"1{end}2 " * 3000])
+    for d in (special, messy, spark.read.parquet(f"{sf_small}/documents.parquet")):
         rows = packing.pack(d, blocks=5).collect()
         texts = [(r["doc_id"], r["text"] or "") for r in d.collect()]
         want = collections.Counter()

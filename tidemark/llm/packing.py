@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import block_of, sliced, stored, texts
 
-CAPACITY, END_ID, BLOCKS = 2048, 1, 256
+#: Blocks at least, and pieces in one on average at most.
+CAPACITY, END_ID, BLOCKS, BLOCK_ROWS = 2048, 1, 256, 1_000_000
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -45,7 +46,7 @@ _ENCODERS: dict = {}
 
 
 def encoder(path: str | None = None):
-    """The vocabulary of ``path`` as ranks: text to ids, the strings of special tokens being ordinary text."""
+    """The vocabulary of ``path`` as ranks: text to ids. Strings of added tokens in a text are those tokens, as the file's library reads them."""
     import public_tokenizers
     import tiktoken
 
@@ -53,10 +54,13 @@ def encoder(path: str | None = None):
     if path not in _ENCODERS:
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
-        special = {x["content"] for x in held.get("added_tokens", [])}
+        added = held.get("added_tokens", [])
+        if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added tokens of {path} take in what is around them")
+        special = {x["content"]: x["id"] for x in added}
         of = byte_alphabet()
         ranks = {bytes(of[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
@@ -68,7 +72,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
         for batch in sliced(batches):
             out = [[] for _ in range(5)]
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                ids = np.array([*own.encode_ordinary(text.decode("utf-8", "replace")), end_id], "<u4")
+                ids = np.array([*own.encode(text.decode("utf-8", "replace"), allowed_special="all"), end_id], "<u4")
                 raw = ids.tobytes()
                 for start in range(0, len(ids), capacity):
                     length = min(capacity, len(ids) - start)
@@ -134,7 +138,9 @@ def places(chosen: list[tuple[int, dict[int, int]]], first: int) -> dict[int, tu
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, blocks: int = BLOCKS, path: str | None = None) -> DataFrame:
     """A row per piece with its window (``sequence_id``) and its offset there."""
-    rows = stored(pieces(docs, capacity, end_id, path).withColumn("block", block_of(blocks, "doc_id", "start", "ids_crc32")), "pieces")
+    rows = stored(pieces(docs, capacity, end_id, path), "pieces")
+    blocks = max(blocks, -(-rows.count() // BLOCK_ROWS))
+    rows = rows.withColumn("block", block_of(blocks, "doc_id", "start", "ids_crc32"))
     by_block = rows.groupBy("length", "block").count()
     histogram = {r["length"]: r["n"] for r in by_block.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``capacity`` rows
     full = histogram.pop(capacity, 0)
