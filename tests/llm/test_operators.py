@@ -154,9 +154,9 @@ def test_html_article():
 
 def test_html_without_an_article():
     prose = "<p>It was the best of times and it was the worst of times, said the man who was there for all of it.</p>"
-    page = f'<div><a href=1>one</a> <a href=2>two</a></div><h2>A heading</h2>{prose}<p>Short one.</p>{prose}<p>Tail.</p><ul><li><a href=3>The next of the stories that you have to read</a></ul>'
+    page = f'<div><a href=1>one</a> <a href=2>two</a></div><h2>A heading</h2>{prose}<p>Short one.</p>{prose}<p>End.</p><div>Tail.</div><ul><li><a href=3>The next of the stories that you have to read</a></ul>'
     text = "It was the best of times and it was the worst of times, said the man who was there for all of it."
-    assert html_text.main_text(page) == f"A heading\n{text}\nShort one.\n{text}"  # between article and menu, stop words decide
+    assert html_text.main_text(page) == f"A heading\n{text}\nShort one.\n{text}\nEnd."  # what stands in the article's element is nearer to it; between it and a menu stop words decide
 
 
 @pytest.mark.parametrize("page, text", [("", ""), ("<", "<"), ("<article>cut off <b", "cut off"), ("<article><p>a</b></i></p>x", "a\nx"), ("<article>" + "<b>" * 20_000 + "deep", "deep"), ("<!-- never closed <p>x</p>", ""), ("<article>&#x41;&am;&unknown; &#0;", "A&am;&unknown; �")])
@@ -173,7 +173,7 @@ def test_html_hints():
     assert html_text.main_text(page) == "Head\nIt was the best of times and it was the worst of times, said the man who was there for all of it."
 
 
-@pytest.mark.parametrize("empty", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<SVG a='>' b=1 c />", "<math/>", "<svg a=x/ b />", "<svg a=x/>y</svg>", "<svg><path d=''/></svg>", "<math>x</math>"])
+@pytest.mark.parametrize("empty", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<SVG a='>' b=1 c />", "<math/>", "<svg a=x/ b />", "<svg a=x/>y</svg>", "<svg><path d=''/></svg>", "<math><annotation>x^2</annotation></math>"])
 def test_html_self_closed(empty):
     assert html_text.main_text(f"<article><p>One {empty} two.</p><p>Three.</p>") == "One two.\nThree."
 
@@ -247,6 +247,140 @@ def test_html_test_pages(spark, sf_small):
         assert got[p["page_id"]] == "\n".join(x for x in parts if x)
 
 
+@pytest.mark.parametrize("name", ["search-methods", "social-history", "alert"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_sections_keep_their_text(tag, name):
+    """A class of a part of the article is no verdict over its prose."""
+    lines = [f"It was the best of times and it was the worst of times, said the man who was there for all of it, number {i}." for i in range(6)]
+    part = f'<p class="{name}">{lines[3]}</p>' if name == "alert" else f'<section class="{name}"><p>{lines[2]}</p><p>{lines[3]}</p></section>'
+    around = lines[:3] if name == "alert" else lines[:2]
+    page = f"<{tag}>{''.join(f'<p>{x}</p>' for x in around)}{part}{''.join(f'<p>{x}</p>' for x in lines[4:])}</{tag}>"
+    assert html_text.main_text(page) == "\n".join(lines)
+
+
+def test_html_math():
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='a'>x=2</annotation></math> hold.</p></article>") == "Let x=2 hold."
+
+
+def plain_text(page):
+    """A second, plain form of the two passes for pages whose only hint is the class ``ad``."""
+    from html.parser import HTMLParser
+
+    class Cut(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.blocks, self.now, self.linked, self.boxes = [], [], "", 0, 0
+
+        def flush(self):
+            text = " ".join(self.now.split())
+            if text:
+                tags = [t for t, _, _ in self.open]
+                barred = any(t in ("nav", "aside", "footer", "form", "head", "header") or c == "ad" for t, c, _ in self.open)
+                box = next((n for t, _, n in reversed(self.open) if t in html_text.BOXES), 0)
+                self.blocks.append((text, min(self.linked, len(text)), barred, "article" in tags, any(t[0] == "h" and t[1:].isdigit() for t in tags), box))
+            self.now, self.linked = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.now += " "
+                return
+            if tag in html_text.VOID:
+                return
+            if tag in html_text.BLOCK:
+                self.flush()
+                if any(t == "p" for t, _, _ in self.open):
+                    self.handle_endtag("p")
+            if tag == "li" and self.open and self.open[-1][0] == "li":
+                self.open.pop()
+            self.boxes += 1
+            self.open.append((tag, dict(attrs).get("class"), self.boxes))
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCK:
+                self.flush()
+            if any(t == tag for t, _, _ in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            tags = [t for t, _, _ in self.open]
+            if not set(tags) & {"script", "style", "title"}:
+                self.now += data
+                self.linked += len(data.strip()) if "a" in tags else 0
+
+    cut = Cut()
+    cut.feed(page)
+    cut.close()
+    cut.flush()
+    blocks = cut.blocks
+
+    def density(text):
+        words = text.lower().split()
+        return len([w for w in words if w.strip(".,;:!?\"'()[]«»…*#%$&|") in html_text.STOP]) / len(words)
+
+    def first(marked):
+        labels, low = [], []
+        for text, linked, barred, inside, heading, _ in blocks:
+            if barred or (marked and not inside) or linked > 0.35 * len(text):
+                labels.append("bad")
+            elif heading or len(text) < 70:
+                labels.append("unsure" if inside and marked or heading or not linked else "bad")
+            else:
+                s = density(text)
+                low.append((s, len(labels)))
+                labels.append("good" if s >= 0.2 or s >= 0.1 and len(text) >= 200 else "unsure" if inside and marked or s >= 0.1 or not linked and text.endswith(html_text.SENTENCE) else "bad")
+        if low and max(low)[0] < 0.1:
+            for _, k in low:
+                labels[k] = "good"
+        return labels
+
+    marked = any(b[3] for b in blocks)
+    if marked:
+        inside = sum(len(b[0]) for b in blocks if b[3] and not b[2] and b[1] <= 0.35 * len(b[0]))
+        marked = inside >= sum(len(b[0]) for b, x in zip(blocks, first(False), strict=True) if x == "good" and not b[3])
+    labels = first(marked)
+    if not marked and "good" not in labels:
+        some = [(len(blocks[k][0]), -k) for k, x in enumerate(labels) if x == "unsure" and not blocks[k][4] and blocks[k][0].endswith(html_text.SENTENCE)]
+        if some:
+            labels[-max(some)[1]] = "good"
+    final = []
+    for k, x in enumerate(labels):
+        if x == "unsure":
+            some = [j for j, y in enumerate(labels) if y != "unsure" and not (marked and y == "bad" and (blocks[j][2] or not blocks[j][3]))]
+            some = [j for j in some if blocks[j][5] == blocks[k][5]] or some
+            a, b = max((j for j in some if j < k), default=None), min((j for j in some if j > k), default=None)
+            if a is None and b is None:
+                x = "good" if marked and blocks[k][3] else "bad"
+            elif a is None or b is None or labels[a] == labels[b]:
+                x = labels[b if a is None else a]
+            elif blocks[k][4]:
+                x = labels[b]
+            elif k - a != b - k:
+                x = labels[a] if k - a < b - k else labels[b]
+            else:
+                x = "good" if marked and blocks[k][3] or density(blocks[k][0]) >= 0.1 else "bad"
+        final.append(x)
+    return "\n".join(b[0] for b, x in zip(blocks, final, strict=True) if x == "good")
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_html_against_a_plain_form(spark, tag):
+    """The registered query's operator on whole test pages, as they are and without their article element."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("html", F.regexp_replace("html", "<(/?)article", f"<$1{tag}"))
+    found = kept = extra = 0
+    for r in html_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        assert r["text"] == plain_text(r["html"]), r["page_id"]
+        inner = re.search(rf"<{tag}>(.*?)(</{tag}><footer|$)", r["html"], re.DOTALL)[1]
+        import html as h
+
+        want = collections.Counter(x for x in (" ".join(h.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", inner)) if x)
+        got = collections.Counter(r["text"].split("\n"))
+        found, kept, extra = found + want.total(), kept + (want & got).total(), extra + (got - want).total()
+    assert kept >= (1 if tag == "article" else 0.97) * found and extra <= 0.002 * found
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------
 
 
