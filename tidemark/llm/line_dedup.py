@@ -1,19 +1,24 @@
 """Line deduplication over cuckoo filters backed by exact reference counts (operator 6).
 
 State is a folder of posting segments ``(digest, doc_id, delta)``: inserting documents appends +1
-postings, deleting them appends -1 postings, so every step can be undone. The exact reference
-table (documents holding a key, and the largest of them) is the signed sum of the segments. Keys
+postings, deleting them appends -1 postings for those that are held, so every step can be undone. The exact reference
+table (documents holding a key, and the largest of them) counts the pairs of key and document whose sum is positive. Keys
 held often enough are also members of cuckoo filters, one per shard of the digest space; a lookup
 asks its shard's filter first, and only what the filter lets through meets the exact table, which
 alone decides. Filters take insertions and deletions, so a shard is updated in place.
 
+The first reference table is made of all postings. Later steps count again only the keys that their own postings touch:
+their earlier postings are picked out of the segments by a semi join, the table's other rows stay, and of the filters only
+the shards are written anew whose members change. ``compact`` replaces the segments by their sums.
+
 Scale: postings are aggregated before they are shuffled; lookups are dealt to (shard, salt) groups,
 so the holders of one very common line land in many tasks; the number of shards follows the number
-of keys and that of salts the number of postings, which bounds a filter and a group. Nothing is gathered on the driver but counts.
+of keys and the cluster's parallelism, that of salts the number of postings, which bounds a filter and a group. Nothing is gathered on the driver but counts.
 
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points
 are never dropped; documents are told apart by ``doc_id`` (repeated rows of an id count once, and
-each row loses the lines that its id loses); rows with a null id neither count nor lose lines; an
+each row loses the lines that its id loses); rows with a null id neither count nor lose lines; documents that were never
+inserted can be deleted without effect, and one that was inserted twice must be deleted twice; an
 empty table gives an empty result; other columns are ignored by ``digest_report``, carried by ``drop_lines``.
 """
 
@@ -154,67 +159,97 @@ class LineIndex:
         self.filters: DataFrame | None = None
         self.shards = 0
         self._refs: DataFrame | None = None
+        self._paths: list[str] = []
+        self._fresh: list[str] = []  # segments that the reference table does not count yet
+
+    def _append(self, rows: DataFrame, delta: int) -> None:
+        path = f"{self.path}/segments/{uuid.uuid4().hex}"
+        rows.withColumn("delta", F.lit(delta).cast("int")).write.option("compression", "zstd").parquet(path)
+        self._paths.append(path)
+        self._fresh.append(path)
 
-    def _append(self, docs: DataFrame, delta: int) -> None:
-        postings(docs, self.min_chars).withColumn("delta", F.lit(delta).cast("byte")).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/segments")
-        self._refs = None
+    def _read(self, paths: list[str]) -> DataFrame:
+        schema = "digest binary, doc_id long, delta int"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def insert(self, docs: DataFrame) -> None:
-        self._append(docs, 1)
+        self._append(postings(docs, self.min_chars), 1)
 
     def delete(self, docs: DataFrame) -> None:
-        """Take whole documents, as they were inserted, out of the counts."""
-        self._append(docs, -1)
+        """Take whole documents, as they were inserted, out of the counts; what is not held is passed over."""
+        gone = stored(postings(docs, self.min_chars).distinct(), "gone")
+        held = self.segments().join(gone, ["digest", "doc_id"], "left_semi").groupBy("digest", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
+        self._append(held.select("digest", "doc_id"), -1)
 
     def segments(self) -> DataFrame:
-        return self.spark.read.schema("digest binary, doc_id long, delta byte").parquet(f"{self.path}/segments")
+        return self._read(self._paths)
+
+    def compact(self) -> None:
+        """Replace the segments by one that holds the sum of each pair."""
+        self.references()
+        path = f"{self.path}/segments/{uuid.uuid4().hex}"
+        net = self.segments().groupBy("digest", "doc_id").agg(F.sum("delta").cast("int").alias("delta")).filter("delta > 0")
+        net.write.option("compression", "zstd").parquet(path)
+        self._paths = [path]
+
+    def _counted(self, some: DataFrame) -> DataFrame:
+        """References of the keys of these postings."""
+        held = some.groupBy("digest", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
+        return held.groupBy("digest").agg(F.count("*").alias("holders"), F.max("doc_id").alias("last")).filter(F.col("holders") >= self.min_docs)
 
     def references(self) -> DataFrame:
         """Exact table of the keys held by ``min_docs`` documents or more: digest, holders, largest id."""
         if self._refs is None:
             # Digests with enough postings first: the distinct count then sees few keys.
-            often = self.segments().groupBy("digest").agg(F.sum("delta").alias("n")).filter(F.col("n") >= self.min_docs).select("digest")
+            often = self.segments().groupBy("digest").agg(F.count_if(F.col("delta") > 0).alias("n")).filter(F.col("n") >= self.min_docs).select("digest")
             often = stored(often, "often")
-            held = self.segments().join(often, "digest", "left_semi").groupBy("digest", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
-            refs = held.groupBy("digest").agg(F.count("*").alias("holders"), F.max("doc_id").alias("last")).filter(F.col("holders") >= self.min_docs)
-            self._refs = stored(refs, "refs")
-            self._sync_filters()
+            self._refs = stored(self._counted(self.segments().join(often, "digest", "left_semi")), "refs")
+            self._build_filters()
+        elif self._fresh:
+            touched = stored(self._read(self._fresh).select("digest").distinct(), "touched")
+            before = self._refs
+            now = stored(self._counted(self.segments().join(touched, "digest", "left_semi")), "recounted")
+            was = before.join(touched, "digest", "left_semi").select("digest")
+            changes = was.join(now, "digest", "left_anti").withColumn("added", F.lit(False)).unionByName(now.select("digest").join(was, "digest", "left_anti").withColumn("added", F.lit(True)))
+            changes = stored(changes, "changes")
+            self._refs = stored(before.join(touched, "digest", "left_anti").unionByName(now), "refs")
+            self._update_filters(changes)
+        self._fresh = []
         return self._refs
 
     def _shard(self, column="digest"):
         return F.pmod(F.xxhash64(column), F.lit(self.shards)).cast("int")
 
-    def _sync_filters(self) -> None:
-        """Build the shards' filters, or bring them to the present reference table key by key."""
-        refs = self._refs
-        n = refs.count()
-        if self.filters is None or n > 4 * self.shards * SHARD_KEYS:
-            self.shards = max(4, -(-n // SHARD_KEYS))
+    def _build_filters(self) -> None:
+        n = self._refs.count()
+        self.shards = max(4 * self.spark.sparkContext.defaultParallelism, -(-n // SHARD_KEYS))
 
-            def build(keys: pa.Table) -> pa.Table:
-                made = CuckooFilter(keys.num_rows)
-                for item in keys.column("digest").to_pylist():
-                    made.insert(item)
-                return pa.table({"shard": keys.column("shard")[:1], "filter": pa.array([made.tobytes()], pa.binary()), "members": pa.array([keys.column("digest").to_pylist()], pa.list_(pa.binary()))})
+        def build(keys: pa.Table) -> pa.Table:
+            made = CuckooFilter(keys.num_rows)
+            for item in keys.column("digest").to_pylist():
+                made.insert(item)
+            return pa.table({"shard": keys.column("shard")[:1], "filter": pa.array([made.tobytes()], pa.binary())})
 
-            made = refs.select("digest", self._shard().alias("shard")).groupBy("shard").applyInArrow(build, "shard int, filter binary, members array<binary>")
-        else:
-
-            def update(keys: pa.Table, had: pa.Table) -> pa.Table:
-                old = set(had.column("members")[0].as_py()) if had.num_rows else set()
-                new = set(keys.column("digest").to_pylist())
-                kept = CuckooFilter(raw=had.column("filter")[0].as_py()) if had.num_rows else CuckooFilter(len(new))
-                for item in old - new:
-                    kept.delete(item)
-                for item in new - old:
-                    kept.insert(item)
-                shard = (keys if keys.num_rows else had).column("shard")[:1]
-                return pa.table({"shard": shard, "filter": pa.array([kept.tobytes()], pa.binary()), "members": pa.array([sorted(new)], pa.list_(pa.binary()))})
-
-            keys = refs.select("digest", self._shard().alias("shard"))
-            made = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(update, "shard int, filter binary, members array<binary>")
+        made = self._refs.select("digest", self._shard().alias("shard")).groupBy("shard").applyInArrow(build, "shard int, filter binary")
         self.filters = stored(made, "filters")
 
+    def _update_filters(self, changes: DataFrame) -> None:
+        """Take the changed keys into the filters of their shards, or out of them; build anew where the shards have become too few."""
+        if self._refs.count() > 4 * self.shards * SHARD_KEYS:
+            self._build_filters()
+            return
+
+        def update(keys: pa.Table, had: pa.Table) -> pa.Table:
+            kept = CuckooFilter(raw=had.column("filter")[0].as_py()) if had.num_rows else CuckooFilter(keys.num_rows)
+            for item, added in sorted(zip(keys.column("digest").to_pylist(), keys.column("added").to_pylist(), strict=True), key=lambda x: x[1]):
+                (kept.insert if added else kept.delete)(item)
+            return pa.table({"shard": keys.column("shard")[:1], "filter": pa.array([kept.tobytes()], pa.binary())})
+
+        keys = changes.select("digest", "added", self._shard().alias("shard"))
+        shards = keys.select("shard").distinct()
+        made = keys.groupBy("shard").cogroup(self.filters.join(shards, "shard", "left_semi").groupBy("shard")).applyInArrow(update, "shard int, filter binary")
+        self.filters = stored(self.filters.join(shards, "shard", "left_anti").unionByName(made), "filters")
+
     def dropped(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, drops)``: digests of the lines each document loses."""
         refs = self.references()
