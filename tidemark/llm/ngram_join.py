@@ -41,13 +41,19 @@ RESULT = "doc_id long, class_id long, n_links long, text_class long"
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
-    """``(bands, rows)``: the most rows per band whose bands reach the recall at the threshold within ``most`` hashes."""
-    best = (1, 1)
+    """``(bands, rows)``: the most rows per band whose bands reach the recall at the threshold within ``most`` hashes; raises where none do."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError("the threshold must be in (0, 1] and the recall between 0 and 1")
+    if threshold == 1:
+        return 1, 1
+    best = None
     for rows in range(1, most + 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
         if bands * rows > most:
             break
         best = (bands, rows)
+    if best is None:
+        raise ValueError(f"a recall of {recall} at a similarity of {threshold} takes {bands} hashes, more than {most}")
     return best
 
 
@@ -116,7 +122,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, comp)`` of an edge table ``(a, b)``: every node but the least of its component, with that least one.
+    """``(node, comp)`` of an edge table ``(a, b)``: every node that has an edge, with the least one of its component.
 
     Large and small stars by turns until the edges no longer change.
     """
@@ -126,7 +132,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Stored, so that both sides of the join are plain exchanges and a node with very many edges can be split.
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
+        held = least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large, "large")
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "least")
@@ -134,7 +140,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(tied.select("a", F.col("m").alias("b")).union(tied.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            return held.select(F.col("u").alias("node"), F.col("m").alias("comp"))  # the edges were stars already
         mark = now
 
 
@@ -233,7 +239,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     ties = dealt.join(buckets, ["band", "hash"]).filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     groups = components(ties)
     release(spark)
-    groups = groups.union(groups.select(F.col("comp").alias("node"), "comp").distinct())
     sizes = classes.groupBy("rep").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
     members = stored(groups.join(sizes, groups["node"] == sizes["rep"]).select("rep", "size", "n", "comp"), "members")
     found = stored(verified(members, docs, threshold, words, block), "links")
