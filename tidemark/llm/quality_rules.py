@@ -2,7 +2,7 @@
 
 Every line of a text is judged by itself: navigation (separator bars, link-like fragments),
 punctuation (no sentence end, or nearly every word shouted) and boilerplate (fixed phrases, markup,
-symbol noise). Failing lines are removed; then the document is rejected if it lost more than
+symbols that make up a large share of the line). Failing lines are removed; then the document is rejected if it lost more than
 ``max_lost`` of the characters of its words. Base counts over the whole text reject documents that
 are too short or too repetitive whatever their lines look like.
 
@@ -34,6 +34,9 @@ BOILERPLATE = re.compile(
     "|click here|sign up|log ?in to|subscribe (?:now|to our)|share this|read more|skip to (?:main )?content|powered by",
     re.IGNORECASE,
 )
+SYMBOL = re.compile("[#*$%&|<>]")
+#: A line fails if more than one in this many of its characters is a symbol.
+SYMBOL_SHARE = 8
 MARKUP = re.compile(r"[{}]|</?[a-z]+[^<>]*>")
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+").findall
@@ -75,8 +78,7 @@ def line_fails(line: str) -> bool:
     shouted = sum(w.endswith(("!!", "??")) for w in words)
     if shouted * 3 > len(words):
         return True
-    noise = sum(w.rstrip(".,").endswith(("###", "***", "%%%", "$$$", "&&&")) for w in words)
-    if noise * 3 > len(words):
+    if len(SYMBOL.findall(line)) * SYMBOL_SHARE > sum(map(len, words)):
         return True
     return len(words) <= 30 and bool(BOILERPLATE.search(line)) or len(MARKUP.findall(line)) * 5 > len(words)
 

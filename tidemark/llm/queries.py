@@ -96,9 +96,9 @@ l AS (SELECT doc_id, k, line, list_filter(string_split_regex(line, '[\x20\x09-\x
 f AS (SELECT *, len(words) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth,
   len(list_filter(words, lambda w: w IN ({_BARS}))) AS bars, list_aggregate(list_transform(words, lambda w: length(w)), 'sum') AS chars,
   len(list_filter(words, lambda w: regexp_matches(w, '(!!|\?\?)$'))) AS shouted,
-  len(list_filter(words, lambda w: regexp_matches(w, '(###|\*\*\*|%%%|\$\$\$|&&&)[.,]*$'))) AS noise,
+  length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
   len(list_filter(words, lambda w: regexp_matches(w, '[.!?…。]$'))) AS stops FROM l),
-v AS (SELECT *, n > 0 AND (bars >= 2 AND bars * 6 >= n OR NOT regexp_matches(words[-1], '{_ENDS}') AND NOT (n >= 10 AND stops > 0) OR shouted * 3 > n OR noise * 3 > n
+v AS (SELECT *, n > 0 AND (bars >= 2 AND bars * 6 >= n OR NOT regexp_matches(words[-1], '{_ENDS}') AND NOT (n >= 10 AND stops > 0) OR shouted * 3 > n OR symbols * {quality_rules.SYMBOL_SHARE} > chars
   OR n <= 30 AND regexp_matches(line, '(?i){_BOILERPLATE}') OR len(regexp_extract_all(line, '{quality_rules.MARKUP.pattern}')) * 5 > n) AS fails FROM f),
 c AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, CAST(coalesce(sum(chars), 0) AS BIGINT) AS word_chars, CAST(count(*) FILTER (n > 0 AND nth > 1) AS BIGINT) AS n_dup_lines,
   CAST(count(*) FILTER (fails) AS BIGINT) AS n_lines_removed, CAST(coalesce(sum(chars) FILTER (fails), 0) AS BIGINT) AS chars_lost FROM v GROUP BY doc_id),
