@@ -459,6 +459,65 @@ def test_ordinal_sample_is_bounded_and_thresholds_are_ordered(spark):
     assert ordinal.training_rows(d.repartition(7), labels, sample=100)[5][0] == rows[5][0]
 
 
+def test_ordinal_descent_reaches_the_optimum():
+    """The penalised descent against plain gradient steps on the same likelihood."""
+    rng = np.random.default_rng(6)
+    n, m = 5, 3000
+    on = rng.random((m, n)) < 0.4
+    weights = np.array([2.0, -1.5, 0.7, 0.0, -0.4])
+    latent = on @ weights + rng.logistic(size=m)
+    grades = (latent > -0.5).astype(int) + (latent > 1.0)
+    shares = np.zeros((m, ordinal.SHAPES))
+
+    def loss(w, t):
+        f = on @ w
+        wide = np.concatenate([[-np.inf], t, [np.inf]])
+        return -np.log(ordinal.sigmoid(wide[grades + 1] - f) - ordinal.sigmoid(wide[grades] - f)).mean()
+
+    def slope(x, h=1e-5):
+        return np.array([(loss((x + e)[:n], (x + e)[n:]) - loss((x - e)[:n], (x - e)[n:])) / (2 * h) for e in np.eye(len(x)) * h])
+
+    x = np.concatenate([np.zeros(n), [-1.0, 1.0]])
+    for _ in range(400):
+        x = x - 1.5 * slope(x)
+    assert np.abs(slope(x)).max() < 1e-3
+    w, _, t = ordinal._descend([np.flatnonzero(row) for row in on], shares, grades, n, 60, 0.0, 0.3)
+    assert loss(w, t) - loss(x[:n], x[n:]) < 2e-3 and np.abs(w - x[:n]).max() < 0.15 and np.abs(t - x[n:]).max() < 0.15 and t[0] <= t[1]
+
+
+def test_ordinal_scores_row_by_row(spark):
+    """The registered form of scoring against the formula, a row and a feature at a time."""
+    import math
+    import zlib as z
+
+    d, labels = labelled(spark, 400, 8)
+    model = ordinal.fit(ordinal.training_rows(d, labels))
+    assert model.lookup
+    for r, s in zip(d.orderBy("doc_id").collect(), ordinal.score(d, model).orderBy("doc_id").collect(), strict=True):
+        words = r["text"].split()
+        features = set()
+        marks = collections.Counter()
+        for word in words:
+            plain = word.lower().strip(ordinal.PUNCTUATION)
+            features |= {z.crc32(f"{k}:{plain[: k or None]}".encode()) % ordinal.DIMENSIONS for k in (0, 4, 5) if k < len(plain)}
+            mark = ""
+            while len(mark) < 3 and len(mark) < len(word) and word[len(word) - 1 - len(mark)] in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
+                mark = word[len(word) - 1 - len(mark) :]
+            if mark:
+                marks[mark] += 1
+        features |= {z.crc32(f"m{(len(words) // c).bit_length()}:{mark}".encode()) % ordinal.DIMENSIONS for mark, c in marks.items()}
+        total = sum(model.lookup.get(b, 0.0) for b in features) + float(np.dot(model.marks, ordinal.shape(r["text"].encode(), r["text"].encode().split())))
+        tails = [1 / (1 + math.exp(t - total)) for t in model.thresholds]
+        assert np.allclose([s["score"], s["expected_grade"], s["tail_probability"]], [total, sum(tails), tails[-1]], atol=1e-9) and s["kept"] == (tails[-1] >= ordinal.LEAST)
+
+
+def test_ordinal_training_is_bounded_in_bytes(spark):
+    long = " ".join(f"word{i}" for i in range(5000))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = ordinal.training_rows(docs(spark, [long, "short text"]), labels)
+    assert len(rows[0][1]) == ordinal.MOST_BUCKETS and ordinal.classify(docs(spark, [long, "short text"]), labels).count() == 2
+
+
 def test_ordinal_messy(spark, messy):
     labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (1, 0, 0), (4, None, 1), (None, 1, 1), (5, 0, 1), (999, 1, 1)], "doc_id long, quality int, toxic int")
     assert ordinal.classify(messy, labels).count() == messy.count()

@@ -4,21 +4,25 @@ The two ratings of a labelled document make one grade: 0 low quality, 1 sound bu
 P(grade <= k) = sigmoid(t_k - w.x), with one weight vector over hashed words and ordered thresholds
 t_0 < t_1. A text gets its expected grade and the tail probability P(grade >= 2), which selects.
 
-Features are the distinct words of the whole text and their beginnings, hashed, and a few shares that
-describe its shape (marks, capitals, repetition). Hashed words seen in fewer than ``min_docs`` training documents have no weight.
+Features are the distinct words of the whole text and their beginnings, and the marks that words end with together
+with how frequent they are, all hashed, and a few shares that describe its shape (capitals, digits, repetition). Hashed features
+seen in fewer than ``min_docs`` training documents have no weight. Which marks and words tell is learnt from the labels alone.
 
-The fit uses at most ``sample`` labelled rows, those with the smallest hash of their id, so it is
-bounded and repeatable whatever the size of the labels; scoring is one map over all documents, with
+The fit uses at most ``sample`` labelled rows, those with the smallest hash of their id, and of a longer text the
+``MOST_BUCKETS`` hashed features that come first in a mixed order, so what reaches the driver is bounded in bytes (160 MB by default)
+and repeatable whatever the size of the labels and the texts; scoring is one map over all documents and their whole texts, with
 the weights (at most ``most_weights`` pairs) in the task's closure.
 
-Defined cases: null and empty texts have no words and are scored by the thresholds alone; labels that
+Defined cases: very long texts are scored whole, repeated rows each by itself and alike; null and empty texts have no words and are scored by the thresholds alone; labels that
 are null, repeated or without a document are left out (of repeated ones the smallest grade holds);
 with labels of fewer than two grades nothing is rejected; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import string
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,14 +33,13 @@ from pyspark.sql import functions as F
 from .common import map_texts, texts
 
 GRADES, DIMENSIONS = 3, 1 << 22
-SAMPLE, MIN_DOCS, MOST_WEIGHTS = 20_000, 8, 200_000
+SAMPLE, MIN_DOCS, MOST_WEIGHTS, MOST_BUCKETS = 20_000, 8, 200_000, 2048
 #: Tail probability from which a document is kept.
 LEAST = 0.75
 EPOCHS, SELECT, SHRINK = 40, 8e-3, 2e-5
-#: Marks whose share of the words is a feature.
-MARKS = [b"!!", b"??", b" | ", b"###", b"***", b"%%%", b"$$$", b"&&&", b"...", b"http", b"<", b"{"]
-SHAPES, BEGINNINGS = len(MARKS) + 6, (4, 5)
+SHAPES, BEGINNINGS = 6, (4, 5)
 PUNCTUATION = ".,;:!?\"'()[]{}«»„“”‘’…-*#%$&|"
+MARK_BYTES = frozenset(string.punctuation.encode())
 
 
 def word_buckets(word: bytes) -> tuple[int, ...]:
@@ -47,8 +50,21 @@ def word_buckets(word: bytes) -> tuple[int, ...]:
     return tuple(zlib.crc32(b"%d:" % k + plain[: k or None].encode()) % DIMENSIONS for k in (0, *BEGINNINGS) if k < len(plain))
 
 
+def mark_of(word: bytes) -> bytes:
+    """The punctuation that a word ends with, three characters of it at most."""
+    end = len(word)
+    while end and len(word) - end < 3 and word[end - 1] in MARK_BYTES:
+        end -= 1
+    return word[end:]
+
+
+def mark_buckets(counts: dict[bytes, int], n: int) -> list[int]:
+    """Hash buckets of the marks of a text of ``n`` words, each with the power of two that its share comes to."""
+    return [zlib.crc32(b"m%d:" % (n // c).bit_length() + mark) % DIMENSIONS for mark, c in counts.items()]
+
+
 def shape(text: bytes, words: list[bytes]) -> list[float]:
-    """Shares of the marks, of digits and capitals, of repeated lines and words, and the mean length of words."""
+    """Shares of digits and capitals, of repeated lines and words, and the mean length of words."""
     n = len(words)
     if not n:
         return [0.0] * SHAPES
@@ -57,7 +73,7 @@ def shape(text: bytes, words: list[bytes]) -> list[float]:
     lines = [x for x in text.split(b"\n") if x]
     again = 1 - len(set(lines)) / max(1, len(lines))
     runs = [b" ".join(words[k : k + 4]) for k in range(0, max(1, n - 3))]
-    return [min(1.0, text.count(m) / n) for m in MARKS] + [min(1.0, digits / n), capitals / len(text), again, 1 - len(set(runs)) / len(runs), min(1.0, len(text) / n / 20), 1.0 / n]
+    return [min(1.0, digits / n), capitals / len(text), again, 1 - len(set(runs)) / len(runs), min(1.0, len(text) / n / 20), 1.0 / n]
 
 
 def sigmoid(x):
@@ -77,15 +93,20 @@ class Model:
     def score_text(self, text: bytes, cache: dict[bytes, dict[int, float]]) -> float:
         words = text.split()
         found: dict[int, float] = {}
-        for w in set(words):
-            hit = cache.get(w)
-            if hit is None:
-                hit = {b: self.lookup[b] for b in word_buckets(w) if b in self.lookup}
+        marks: dict[bytes, int] = {}
+        for w, n in Counter(words).items():
+            known = cache.get(w)
+            if known is None:
+                known = {b: self.lookup[b] for b in word_buckets(w) if b in self.lookup}, mark_of(w)
                 if len(cache) > 300_000:
                     cache.clear()
-                cache[w] = hit
+                cache[w] = known
+            hit, mark = known
             if hit:
                 found.update(hit)
+            if mark:
+                marks[mark] = marks.get(mark, 0) + n
+        found.update((b, self.lookup[b]) for b in mark_buckets(marks, len(words)) if b in self.lookup)
         return sum(found.values()) + float(np.dot(self.marks, shape(text, words)))
 
 
@@ -100,7 +121,7 @@ def fit(rows: list[tuple[int, np.ndarray, list[float]]], epochs: int = EPOCHS, m
         often = np.sort(often[np.argsort(-seen[often], kind="stable")[:most_weights]])
     shares = np.array([m for _, _, m in rows])
     for penalty, pace in ((select, 0.3), (shrink, 5.0)):
-        place = np.full(DIMENSIONS, -1, np.int64)
+        place = np.full(DIMENSIONS, -1, np.int32)
         place[often] = np.arange(len(often))
         docs = [p[p >= 0] for p in (place[b] for _, b, _ in rows)]
         w, v, t = _descend(docs, shares, grades, len(often), epochs, penalty, pace)
@@ -153,10 +174,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> l
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
 
     def each(batch):
-        buckets, shares, cache = [], [], {}
+        buckets, shares = [], []
         for text in texts(batch.column(1)):
             words = text.split()
-            buckets.append(sorted({b for w in set(words) for b in (cache[w] if w in cache else cache.setdefault(w, word_buckets(w)))}))
+            found, marks = set(), {}
+            for w, n in Counter(words).items():
+                found.update(word_buckets(w))
+                if mark := mark_of(w):
+                    marks[mark] = marks.get(mark, 0) + n
+            found.update(mark_buckets(marks, len(words)))
+            if len(found) > MOST_BUCKETS:
+                found = sorted(found, key=lambda b: (b * 0x9E3779B1) % DIMENSIONS)[:MOST_BUCKETS]
+            buckets.append(sorted(found))
             shares.append(shape(text, words))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "grade", "buckets", "shares"])
 
