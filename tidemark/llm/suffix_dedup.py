@@ -13,7 +13,8 @@ belongs to one anchor. Nothing is lost.
 2. Anchors are counted by gram hash; grams that occur once, most of them, cannot be part of a match.
 3. Anchors of repeated grams carry the hash of their context. A context that occurs twice is repeated as
    a whole. Copies thereby shrink to one representative.
-4. Contexts whose gram occurs in other contexts too are fetched once as text and range-partitioned by
+4. Contexts whose gram occurs in other contexts too are fetched once as text. Sorted by the reversed bytes before the gram, their
+   neighbours tell how many of these any other context shares; the rest is cut off. Then they are range-partitioned by
    their leading tokens: the whole suffix from the anchor on, then the reversed bytes before it (splitters are Spark's
    sample of them), so a gram with very many contexts is parted as well. A bucket is worked off in
    chunks, which sort their suffixes, and the reversed prefixes, by multikey quicksort on 8-byte tokens, where only
@@ -78,6 +79,9 @@ def _slide(values: np.ndarray, width: int, of) -> np.ndarray:
     return of(out[:n], out[width - span : width - span + n]) if span < width else out
 
 
+_PLACES = np.arange(BLOCK + SPAN, dtype=np.uint64)
+
+
 def _periods(at: np.ndarray, h: np.ndarray, lag: int) -> list[int]:
     """Distances of at most ``REST`` between anchors with equal grams that are ``lag`` apart, ascending."""
     gap = at[lag:] - at[:-lag]
@@ -101,27 +105,28 @@ def anchors(data: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarra
     for begin in range(0, len(data) - SPAN + 1, block):
         n = min(block, len(data) - SPAN + 1 - begin)  # strings that start in this block
         h = gram_hashes(data[begin : begin + n + SPAN - 1])
-        key = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
+        key = (h & ~PLACE) | _PLACES[: len(h)]
         place = (_slide(key, REST + 1, np.minimum) & PLACE).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        at, last = place[first], np.append(first[1:], n) - 1
         skip = np.zeros(n, bool)
         early = max(0, begin - REST)
-        at, last = place[first], np.append(first[1:], n) - 1
         for lag in range(1, LAGS + 1):
+            if len(at) <= lag or lag == 1 and len(np.unique(h[at])) == len(at):
+                break
             for p in (k + 1 for k in _periods(at, h, lag)):
                 for a, b in _runs(data[early : begin + n + SPAN - 1], p):
                     runs.append((early + a, early + b))
                     skip[max(0, early + a + p - begin) : max(0, early + b - SPAN + 1 - begin)] = True
             live = ~(skip[first] & skip[last])
             first, last, at = first[live], last[live], at[live]
-        live = np.flatnonzero(~skip)
-        if len(live):
+        if skip.any():
+            live = np.flatnonzero(~skip)
             place = place[live]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-            last = np.append(first[1:], len(live)) - 1
-            at = place[first]
-            for column, value in zip(out, (at + begin, h[at].view(np.int64), at - live[first], at - live[last]), strict=True):
-                column.append(value)
+            first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])[: len(live)]
+            at, first, last = place[first], live[first], live[np.append(first[1:], len(live))[: len(live)] - 1]
+        for column, value in zip(out, (at + begin, h[at].view(np.int64), at - first, at - last), strict=True):
+            column.append(value)
     if not out[0]:
         return *(np.zeros(0, np.int64) for _ in range(4)), []
     return *(np.concatenate(x) for x in out), merged(runs)
@@ -151,32 +156,33 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), doc.alias("doc"), key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
-OCCURRENCES = (("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("hi", pa.int16()), ("lo", pa.int16()), ("end", pa.int32()))
+OCCURRENCES = (("h", np.int64), ("c", np.int64), ("doc", np.int64), ("key", np.int64), ("at", np.int32), ("hi", np.int16), ("lo", np.int16), ("end", np.int32))
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """A row per anchor with its context's hash, and a row with an ``end`` per run."""
+    """A row per anchor with its context's hash, its ``end`` being -1, and a row from ``at`` to ``end`` per run."""
 
     def each(batch):
         out: list[list] = [[] for _ in OCCURRENCES]
 
         def put(*columns):
-            for column, value, (_, kind) in zip(out, columns, OCCURRENCES, strict=True):
-                column.append(pa.array(value, kind) if value is not None else pa.nulls(len(columns[0]), kind))
+            for column, value in zip(out, columns, strict=True):
+                column.append(value)
 
         for text, doc, key in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             at, h, hi, lo, runs = anchors(np.frombuffer(text, np.uint8))
             if len(at):
                 bounds = zip((at - hi).tolist(), (at - lo + SPAN).tolist(), hi.tolist(), strict=True)
                 c = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b], d) for a, b, d in bounds), np.uint64, len(at)).view(np.int64)
-                put(h, c, np.full(len(at), doc), np.full(len(at), key), at, hi, lo, None)
+                put(h, c, np.full(len(at), doc), np.full(len(at), key), at, hi, lo, np.full(len(at), -1))
             if runs:
                 begin, end = np.array(runs, np.int64).T
                 # Runs meet no gram; their keys only spread them.
                 spread = ((begin + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key % (1 << 64))).view(np.int64)
-                put(spread, None, np.full(len(begin), doc), np.full(len(begin), key), begin, None, None, end)
+                none = np.zeros(len(begin), np.int64)
+                put(spread, none, np.full(len(begin), doc), np.full(len(begin), key), begin, none, none, end)
         if out[0]:
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in out], names=[name for name, _ in OCCURRENCES])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(kind)) for x, (_, kind) in zip(out, OCCURRENCES, strict=True)], names=[name for name, _ in OCCURRENCES])
 
     return map_texts(rows, ["text", "doc", "key"], each, "h long, c long, doc long, key long, at int, hi short, lo short, end int", 0)
 
@@ -249,7 +255,12 @@ def resolve(group: np.ndarray, left: list[bytes], right: list[bytes], weight: np
         size = n - int(np.searchsorted(group, group[-1]))
         ahead = np.minimum.accumulate(np.concatenate([[REST], common_r[n - size + 1 :][::-1]]))[::-1]
         reach[n - size :] = np.maximum(reach[n - size :], ahead)
-    reach = reach[back_r]
+    # Right bytes that no other row of the gram has take no part; of the first and the last row it is not known.
+    ahead = np.append(np.maximum(common_r[1:], -1), -1)
+    shared = np.maximum(np.maximum(common_r, ahead), 0)
+    shared[0] = REST if before else shared[0]
+    shared[-1] = REST if beyond else shared[-1]
+    reach, has = reach[back_r], np.minimum(has, shared[back_r])
     most, least, far = np.full(n, -1), np.full(n, SPAN), []
     heavy = np.minimum(weight, 2)
     for d in range(REST + 1):
@@ -270,6 +281,32 @@ def resolve(group: np.ndarray, left: list[bytes], right: list[bytes], weight: np
 RESOLVED = "h long, c long, most short, least short, s binary, n int"
 
 
+def _left_bounded(contexts: DataFrame, chunk: int) -> DataFrame:
+    """Contexts with no more of their left bytes than some other context of their gram has; those that cannot match any more are dropped.
+
+    The neighbours in the order of the left bytes tell; next to a boundary all bytes stay.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                suffix, left = part.column(0).to_pylist(), part.column(1).to_pylist()
+                grams = [x[:GRAM] for x in suffix]
+                group = np.cumsum([0, *(a != b for a, b in zip(grams, grams[1:], strict=False))])
+                words = np.frombuffer(b"".join(x.ljust(REST, b"\0") for x in left), np.uint8).reshape(len(left), REST).view(">u8").astype(np.uint64)
+                order, common = multikey_order(words, group)
+                bound = np.maximum(common, np.append(common[1:], -1))
+                bound[0] = bound[-1] = REST
+                bound = bound[np.argsort(order, kind="stable")]
+                left = [x[:b] for x, b in zip(left, np.maximum(bound, 0).tolist(), strict=True)]
+                keep = pa.array([len(x) + len(y) >= SPAN for x, y in zip(left, suffix, strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(left, pa.binary()), *part.columns[2:]], names=part.schema.names).filter(keep)
+
+    gram = F.substring("suffix", 1, GRAM)
+    return contexts.repartitionByRange(gram, "left").sortWithinPartitions(gram, "left").mapInArrow(run, contexts.schema)
+
+
 def _resolved(contexts: DataFrame, chunk: int) -> DataFrame:
     """Range-partition contexts by their suffixes and sort them; resolve chunk by chunk, handing on what may cross a boundary.
 
@@ -327,11 +364,11 @@ def covered(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = keyed(docs).drop("doc_id")
     grams = stored(_gram_counts(rows).groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 2").select("h", F.lit(True).alias("often")), "grams")
     release(spark)
-    found = stored(_occurrences(rows).join(grams, "h", "left").filter("often or end is not null").drop("often"), "anchors")
+    found = stored(_occurrences(rows).join(grams, "h", "left").filter("often or end >= 0").drop("often"), "anchors")
     release(spark)
     # The representative's columns are those of one row: a plain aggregate takes them from its first one together.
     one = [F.first(x).alias(x) for x in ("doc", "key", "at", "hi", "lo")]
-    contexts = stored(found.filter("end is null").groupBy("h", "c").agg(F.count("*").alias("n"), *one), "contexts")
+    contexts = stored(found.filter("end < 0").groupBy("h", "c").agg(F.count("*").alias("n"), *one), "contexts")
     release(spark)
     groups = contexts.groupBy("h").agg(F.count("*").alias("k"), F.sum((F.col("n") < 2).cast("long")).alias("single")).filter("k >= 2 and single >= 1").select("h")
     groups = stored(groups, "groups")  # both sides of the next join are then plain exchanges, and a hot gram can be split
@@ -351,7 +388,7 @@ def covered(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     once = rows.join(mixed.hint("merge"), ["doc", "key"]).select("text", "asked")
     fetched = stored(once.mapInArrow(fetch, "suffix binary, left binary, h long, c long, n int"), "suffixes")
     release(spark)
-    resolved = stored(_resolved(fetched, chunk), "resolved")
+    resolved = stored(_resolved(_left_bounded(fetched, chunk), chunk), "resolved")
     release(spark)
     across = resolved.filter("s is not null")
     often = across.groupBy("s").agg(F.sum("n").alias("total")).filter("total >= 2").select("s")
@@ -360,8 +397,8 @@ def covered(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ranges = stored(resolved.filter("s is null").select("h", "c", "most", "least").unionByName(crossed).unionByName(whole), "ranges")
     release(spark)
     at, end = F.col("at") - F.col("most").cast("int"), F.col("at") - F.col("least").cast("int") + SPAN
-    gone = found.filter("end is null").join(ranges, ["h", "c"]).select("doc", "key", at.alias("begin"), end.alias("end"))
-    gone = gone.unionByName(found.filter("end is not null").select("doc", "key", F.col("at").alias("begin"), "end"))
+    gone = found.filter("end < 0").join(ranges, ["h", "c"]).select("doc", "key", at.alias("begin"), end.alias("end"))
+    gone = gone.unionByName(found.filter("end >= 0").select("doc", "key", F.col("at").alias("begin"), "end"))
     return gone.groupBy("doc", "key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
