@@ -25,6 +25,24 @@ def database(path, rows):
     return str(path)
 
 
+def test_sqlite_keeps_its_rows_if_a_write_fails(spark, tmp_path):
+    path = str(tmp_path / "x.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE items (id INTEGER PRIMARY KEY, name TEXT NOT NULL)")
+        con.executemany("INSERT INTO items VALUES (?, ?)", [(i, f"n{i}") for i in range(10)])
+    s = SqliteStore(spark, path)
+    bad = spark.createDataFrame([(1, "x"), (2, None)], "id long, name string")
+    for write in (s.replace, s.apply):
+        with pytest.raises(Exception, match="NOT NULL"):
+            write("items", bad)
+        assert s.row_count("items") == 10 and s.table("items").filter("name = 'x'").count() == 0
+    assert s.list_tables() == ["items"]
+    with sqlite3.connect(path) as con:
+        assert con.execute("SELECT count(*) FROM sqlite_master WHERE type = 'table'").fetchone() == (1,)
+    s.apply("items", spark.createDataFrame([(1, "x"), (11, "y")], "id long, name string"))
+    assert s.row_count("items") == 11
+
+
 def test_sqlite_store(spark, tmp_path):
     a = SqliteStore(spark, database(tmp_path / "a.sqlite", [(i, f"n{i}", i / 2, b"\xde", "2024") for i in range(1, 30)]), "updated_at")
     b = SqliteStore(spark, database(tmp_path / "b.sqlite", [(1, "old", None, None, "2023"), (100, "only", 1.0, b"", "2024")]), "updated_at")

@@ -33,6 +33,9 @@ def test_apply_stream(spark, tmp_path):
     spark.createDataFrame([(1, "mid", "2"), (1, "new", "3"), (2, "x", "1")], schema).write.parquet(f"{tmp_path}/in")
     stream.apply_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, "t", ["id"], "updated_at", f"{tmp_path}/cp").awaitTermination(120)
     assert {tuple(r) for r in store.table("t").collect()} == {(1, "new", "3"), (2, "x", "1")}
+    spark.createDataFrame([(1, "late", "2"), (2, "y", "2")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    stream.apply_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, "t", ["id"], "updated_at", f"{tmp_path}/cp").awaitTermination(120)
+    assert {tuple(r) for r in store.table("t").collect()} == {(1, "new", "3"), (2, "y", "2")}
 
 
 def test_events_per_window(spark, tmp_path):

@@ -236,6 +236,71 @@ def test_peer_exchange(spark):
     assert rows(a, "users") == rows(b, "users") == {("1", "theirs", "1")}
 
 
+def test_peers_that_must_not_exchange(spark):
+    users = "id string, name string, updated_at string"
+    a, b = store(spark, [("1", "x", "1"), ("1", "y", "1")], users, "users"), store(spark, [("2", "Bob", "1")], users, "users")
+    for one, two in ((a, b), (b, a)):
+        with pytest.raises(C.DuplicateKey):
+            peer.exchange(one, two, "users", SyncConfig())
+    with pytest.raises(C.SyncError, match="another database"):
+        peer.exchange(b, b, "users", SyncConfig(), ("h1", "h2"))
+    assert peer.exchange(b, b, "users", SyncConfig(), ("h1", "h1")) == S.SyncResult("users", 0, 0)
+
+
+def test_columns_on_one_side_only(spark, caplog):
+    """They are neither compared nor moved, so a drifted pair is at rest after one sync."""
+    a = store(spark, [(1, "a", "1"), (2, "b", "1")])
+    b = store(spark, [(1, "a", "1", 7)], ITEMS + ", extra int")
+    got = [(r.pushed, r.pulled) for _ in range(3) for r in [S.sync_table(a, b, "items", SyncConfig())]]
+    assert got == [(1, 0), (0, 0), (0, 0)] and rows(b) == {(1, "a", "1", 7), (2, "b", "1", None)} and "extra" in caplog.text
+    c = store(spark, [("a", "1")], "name string, updated_at string")
+    with pytest.raises(C.ConfigError, match="key column"):
+        S.sync_table(a, c, "items", SyncConfig())
+
+
+def test_relay_takes_new_columns(spark, tmp_path):
+    root = str(tmp_path / "relay")
+    R.stash(spark, store(spark, [(1, "a", "1"), (2, "b", "1")]), root, SyncConfig())
+    wider = store(spark, [(1, "a", "2", 7), (2, "b", "1", None)], ITEMS + ", extra int")
+    R.stash(spark, wider, root, SyncConfig())
+    assert rows(ParquetStore(spark, root)) == {(1, "a", "2", 7), (2, "b", "1", None)}
+    assert [r.pushed for r in R.stash(spark, wider, root, SyncConfig())] == [0]
+
+
+def test_changed_rows_write_their_files_only(spark, tmp_path):
+    """One row of a hundred key ranges: its range is written anew, ninety-nine are named again; the versions before stay readable."""
+    s = ParquetStore(spark, str(tmp_path / "s"), create=True)
+    df = spark.range(1000).selectExpr("id", "concat('n', id) AS name", "'1' AS updated_at").repartitionByRange(100, "id")
+    s.add(TableSpec("items", ["id"], "updated_at"), df)
+    before, old = s.manifest()["tables"]["items"], s.table("items")
+    files = set(s.files_of(before))
+    s.apply("items", spark.createDataFrame([(500, "new", "2")], ITEMS))
+    after = set(s.files_of(s.manifest()["tables"]["items"]))
+    assert len(files) == 100 and len(files - after) == 1
+    assert spark.read.parquet(*(f"{s.root}/{f}" for f in after - files)).count() <= 12  # the range of the key, no other
+    assert rows(s) == {(i, "new" if i == 500 else f"n{i}", "2" if i == 500 else "1") for i in range(1000)} and old.filter("name = 'new'").count() == 0
+    s.apply("items", spark.createDataFrame([(5000, "more", "2")], ITEMS))
+    assert after <= set(s.files_of(s.manifest()["tables"]["items"])) and s.row_count("items") == 1001
+    a = store(spark, [(3, "pushed", "9")])
+    assert S.push_table(a, s, "items", SyncConfig()).pushed == 1 and s.table("items").filter("name = 'pushed'").count() == 1
+    s.compact("items")
+    assert s.row_count("items") == 1001
+    s.vacuum(1)
+    assert s.row_count("items") == 1001
+
+
+def test_two_writers_of_a_cache(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "a", "1")], ITEMS)
+    one, two = (cache.MetadataCache(spark, str(tmp_path / "c")) for _ in range(2))
+    one.refresh("items", df, ["id"], "updated_at")
+    seen = two._state("items")
+    one.refresh("items", df, ["id"], "updated_at")
+    monkeypatch.setattr(two, "_state", lambda table: seen)
+    with pytest.raises(C.ConcurrentWrite):
+        two.refresh("items", df, ["id"], "updated_at")
+    assert one.load("items").count() == 1
+
+
 def test_peers(spark):
     from pyspark.sql import functions as F
 

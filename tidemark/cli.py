@@ -37,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
     watch = commands.add_parser("watch")
     watch.add_argument("--interval", type=float, default=30)
     watch.add_argument("--ticks", type=int)
+    watch.add_argument("--state", help="a file that holds the time of the last sync")
     watch.add_argument("--lock", help="a file that keeps a second instance away")
     exchange = commands.add_parser("broadcast")
     exchange.add_argument("--once", action="store_true")
@@ -75,7 +76,7 @@ def run(spark: SparkSession, args: argparse.Namespace, config: Config) -> dict:
         names = [S.validated(args.table, a.list_tables())] if args.table else S.tables_to_sync(a, b, c)
         tables = []
         for n in names:
-            found = S.diff_of(a, b, n, c).persist()
+            found = S.diff_of(a, b, n, c, check_keys=True).persist()
             preview = {r["bucket"]: r["pks"] for r in D.detail(found, 5).collect()}
             tables.append({"name": n, **D.stats(found).first().asDict(), "preview": preview, "summary": D.summary(found).first()["summary"]})
             found.unpersist()
@@ -108,7 +109,7 @@ def run(spark: SparkSession, args: argparse.Namespace, config: Config) -> dict:
 
     a, b = local_store(spark, config), target_store(spark, config)
     with PidLock(args.lock) if args.lock else contextlib.nullcontext():
-        n = watch(lambda: S.sync_all(a, b, c), args.interval, report=lambda line: print(json.dumps(line), flush=True), ticks=args.ticks)
+        n = watch(lambda: S.sync_all(a, b, c), args.interval, args.state, retry=c.retry, report=lambda line: print(json.dumps(line), flush=True), ticks=args.ticks)
     return {"command": command, "status": "ok", "ticks": n}
 
 

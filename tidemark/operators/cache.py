@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canon import with_meta
 from tidemark.operators import diff as D
 from tidemark.operators.merge import latest
+from tidemark.plans.config import ConcurrentWrite
 from tidemark.sources.files import Files
 
 
@@ -44,8 +46,8 @@ class MetadataCache:
         return (-1, None) if not names else (int(names[-1][:-5]), json.loads(self.files.read(f"{self.root}/{table}/_states/{names[-1]}")))
 
     def load(self, table: str) -> DataFrame | None:
-        n, state = self._state(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/v{n}") if state else None
+        _, state = self._state(table)
+        return self.spark.read.parquet(f"{self.root}/{table}/{state['path']}") if state else None
 
     def cursor(self, table: str):
         return (self._state(table)[1] or {}).get("cursor")
@@ -59,13 +61,21 @@ class MetadataCache:
         return self.store(table, merge(self.load(table), fresh, pk) if can else fresh)
 
     def store(self, table: str, meta: DataFrame) -> DataFrame:
-        """Make ``meta`` the cached frame, as after a push that changed the other side."""
+        """Make ``meta`` the cached frame, as after a push that changed the other side; of two writers one gets ``ConcurrentWrite``.
+
+        Of the versions before it the last one stays, which plans may still read.
+        """
         n, _ = self._state(table)
-        path = f"{self.root}/{table}/v{n + 1}"
-        meta.write.mode("overwrite").parquet(path)
-        held = self.spark.read.parquet(path)
+        path = f"v{n + 1}-{uuid.uuid4().hex}"
+        meta.write.parquet(f"{self.root}/{table}/{path}")
+        held = self.spark.read.parquet(f"{self.root}/{table}/{path}")
         top = cursor_of(held).first()["cursor"]
-        self.files.create(f"{self.root}/{table}/_states/{n + 1:010d}.json", json.dumps({"cursor": None if top is None else str(top)}))
+        if not self.files.create(f"{self.root}/{table}/_states/{n + 1:010d}.json", json.dumps({"cursor": None if top is None else str(top), "path": path})):
+            self.files.delete(f"{self.root}/{table}/{path}")
+            raise ConcurrentWrite(f"the metadata of table {table!r} was refreshed by somebody else")
+        for name in self.files.names(f"{self.root}/{table}"):
+            if name.startswith("v") and int(name[1:].split("-")[0]) < n:
+                self.files.delete(f"{self.root}/{table}/{name}")
         return held
 
     def clear(self, table: str | None = None) -> None:

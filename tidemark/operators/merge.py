@@ -22,7 +22,14 @@ def strip(rows: DataFrame, exclude: Iterable[str]) -> DataFrame:
 
 
 def upsert(target: DataFrame, incoming: DataFrame, pk: list[str], mode: str = "preserve", keys: DataFrame | None = None) -> DataFrame:
-    """The target after insert-or-replace by key. ``keys``: those of the incoming rows, where they are at hand without computing the rows.
+    """The target after insert-or-replace by key. ``keys``: those of the incoming rows, where they are at hand without computing the rows."""
+    incoming = completed(target, incoming, pk, mode)
+    gone = (incoming if keys is None else keys).select(*pk)
+    return target.join(gone, pk, "left_anti").select(*target.columns).unionByName(incoming)
+
+
+def completed(target: DataFrame, incoming: DataFrame, pk: list[str], mode: str = "preserve") -> DataFrame:
+    """Incoming rows with the target's columns and types.
 
     Columns that do not come in keep the target's value with ``preserve`` and become null with
     ``replace``; columns that the target lacks are left out.
@@ -34,9 +41,7 @@ def upsert(target: DataFrame, incoming: DataFrame, pk: list[str], mode: str = "p
         incoming = incoming.join(held, pk, "left")
     else:
         incoming = incoming.select("*", *[F.lit(None).cast(target.schema[c].dataType).alias(c) for c in missing])
-    incoming = incoming.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns])
-    gone = (incoming if keys is None else keys).select(*pk)
-    return target.join(gone, pk, "left_anti").select(*target.columns).unionByName(incoming)
+    return incoming.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in target.columns])
 
 
 def delete(target: DataFrame, keys: DataFrame, pk: list[str]) -> DataFrame:

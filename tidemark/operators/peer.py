@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.canon import with_meta
+from tidemark.operators import diff as D
 from tidemark.operators import merge as M
-from tidemark.operators.sync import SyncResult
+from tidemark.operators.sync import SyncResult, shared
 from tidemark.plans.config import ConfigError, SyncConfig, SyncError
 
 #: Fixed values of the protocol.
@@ -40,24 +41,30 @@ def responder_diff(requester: DataFrame, responder: DataFrame, pk: list[str]) ->
     return both.filter(differ).select(*keys, F.coalesce("a_pk", "b_pk").alias("pk"), F.col("b").isNotNull().alias("missing"), F.col("a").isNotNull().alias("wanted"))
 
 
-def exchange(initiator, responder, name: str, config: SyncConfig) -> SyncResult:
+def exchange(initiator, responder, name: str, config: SyncConfig, hashes: tuple[str, str] | None = None) -> SyncResult:
     """One table of two stores: the initiator takes what it lacks, then sends what the other wants.
 
+    ``hashes``: the path hashes of both sides; peers of different databases are refused. Null or repeated keys raise.
     Timestamps and policies play no part. A row that both have with different content goes to the
     initiator first and from there back, so the responder's version holds on both sides.
     """
+    if hashes and hashes[0] != hashes[1]:
+        raise SyncError("the peer has another database")
     pk = initiator.spec(name).pk
     ts_col = initiator.spec(name).ts_col or config.timestamp_column
-    mine, theirs = initiator.table(name), responder.table(name)
+    mine, theirs = shared(initiator.table(name), responder.table(name), pk, name)
+    D.require_keys(mine, pk)
+    D.require_keys(theirs, pk)
     found = responder_diff(with_meta(mine, pk, ts_col, config.exclude_columns), with_meta(theirs, pk, ts_col, config.exclude_columns), pk).persist()
     try:
         n = found.agg(F.count_if("missing").alias("received"), F.count_if(F.col("wanted")).alias("sent")).first()
         if n["received"]:
-            mine = M.upsert(mine, M.strip(M.fetch(theirs, found.filter("missing"), pk), config.exclude_columns), pk, config.merge_mode)
-            initiator.replace(name, mine)
-            mine = initiator.table(name)
+            keys = found.filter("missing").select(*pk)
+            initiator.apply(name, M.strip(M.fetch(theirs, keys, pk), config.exclude_columns), keys, config.merge_mode)
+            mine = initiator.table(name).select(*mine.columns)
         if n["sent"]:
-            responder.replace(name, M.upsert(theirs, M.strip(M.fetch(mine, found.filter("wanted"), pk), config.exclude_columns), pk, config.merge_mode))
+            keys = found.filter("wanted").select(*pk)
+            responder.apply(name, M.strip(M.fetch(mine, keys, pk), config.exclude_columns), keys, config.merge_mode)
         return SyncResult(name, n["sent"], n["received"])
     finally:
         found.unpersist()

@@ -69,7 +69,19 @@ def _pair(a, b, name: str, config: SyncConfig) -> tuple[DataFrame, DataFrame, li
     spec = a.spec(name)
     if not spec.pk:
         raise NoPrimaryKey(name)
-    return a.table(name), b.table(name), spec.pk, spec.ts_col or config.timestamp_column
+    left, right = shared(a.table(name), b.table(name), spec.pk, name)
+    return left, right, spec.pk, spec.ts_col or config.timestamp_column
+
+
+def shared(left: DataFrame, right: DataFrame, pk: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns that both have; others are neither compared nor moved, which is logged. The key must be on both sides."""
+    if lost := [k for k in pk if k not in left.columns or k not in right.columns]:
+        raise ConfigError(f"table {name!r}: key column {lost[0]!r} is on one side only")
+    both = [c for c in left.columns if c in right.columns]
+    if len(both) < max(len(left.columns), len(right.columns)):
+        log.warning("table %s: columns on one side only are left out: %s", name, ", ".join(sorted({*left.columns} ^ {*right.columns})))
+        return left.select(*both), right.select(*both)
+    return left, right
 
 
 def diff_of(a, b, name: str, config: SyncConfig, check_keys: bool = False) -> DataFrame:
@@ -103,7 +115,8 @@ def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry
 
     After rows were pulled, ``tell`` gets the table, their number and all their keys, which come to the driver a partition at a time.
 
-    The comparison is held while both sides are rewritten, so that the second one does not see the first.
+    The comparison is held while both sides are written, so that the second one does not see the first. What is written is the changed
+    rows, and in a store of files the files that hold their keys.
     """
     progress = progress or Progress()
     left, right, pk, _ = _pair(a, b, name, config)
@@ -121,10 +134,10 @@ def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry
             log.warning("table %s: %d rows differ and none is newer; they stay", name, counts[D.CONTENT_DIFFERS])
         if dry_run:
             return SyncResult(name, push, pull, counts, detail)
-        for n, side, source, target, keys in ((push, b, left, right, D.rows_to_push(found, policy)), (pull, a, right, left, D.rows_to_pull(found, policy))):
+        for n, side, source, keys in ((push, b, left, D.rows_to_push(found, policy)), (pull, a, right, D.rows_to_pull(found, policy))):
             if n:
                 progress.start(name, n)
-                side.replace(name, moved(source, target, keys, pk, config))
+                side.apply(name, M.strip(M.fetch(source, keys, pk), config.exclude_columns), keys.select(*pk), config.merge_mode)
                 progress.batch(name, n)
                 progress.finish(name)
         if pull and tell:

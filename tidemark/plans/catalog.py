@@ -7,8 +7,12 @@ timestamp; 5 has no timestamp there and other content; 6 has another timestamp a
 
 from __future__ import annotations
 
+import contextlib
+import os
+import sqlite3
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +22,11 @@ from tidemark.operators import batching, cache, merge, peer
 from tidemark.operators import diff as D
 from tidemark.operators import sync as S
 from tidemark.plans.config import ConflictPolicy, SyncConfig
+from tidemark.sources import relay as relay_ops
+from tidemark.sources.files import work_dir
 from tidemark.sources.relay import as_of
-from tidemark.sources.store import MemoryStore, TableSpec
+from tidemark.sources.sqlite import SqliteStore
+from tidemark.sources.store import MemoryStore, ParquetStore, TableSpec
 from tidemark.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,19 +356,84 @@ def table_changed_feed(spark, sf):
 
 @query(_merged("l", "r", D.push_buckets(ConflictPolicy.NEWER_WINS)))
 def stash_result(spark, sf):
-    """The relay (right) after a stash from the local side."""
-    return _after(spark, sf, ConflictPolicy.NEWER_WINS, "push", 1)
+    """The relay, which holds the right side, after a stash from the local one."""
+    local, remote = ORDERS.spark(spark, sf)
+    relay = _stored(spark, remote)
+    relay_ops.stash(spark, _held(local), relay.root, SyncConfig(conflict_resolution=ConflictPolicy.NEWER_WINS))
+    return relay.table("orders")
 
 
-_SWAPPED = Sides("orders", ORDERS.pk, ORDERS.ts, ORDERS.changed, ORDERS.kinds, ORDERS.columns)
+def _stored(spark, df: DataFrame) -> ParquetStore:
+    """A store in a new folder that holds ``df`` as the orders."""
+    store = ParquetStore(spark, work_dir(spark), create=True)
+    store.add(TableSpec("orders", ORDERS.pk, ORDERS.ts), df)
+    return store
+
+
+def _held(df: DataFrame) -> MemoryStore:
+    return MemoryStore({"orders": df}, {"orders": TableSpec("orders", ORDERS.pk, ORDERS.ts)})
 
 
 @query(f"{ORDERS.diff()}, k AS (SELECT o_orderkey FROM d WHERE bucket IN ('remote_only', 'remote_newer')) SELECT {_COLS} FROM l ANTI JOIN k USING (o_orderkey) UNION ALL SELECT {_COLS} FROM r SEMI JOIN k USING (o_orderkey)")
 def retrieve_result(spark, sf):
     """The local side after a retrieve with remote_wins: the relay plays the local part, so rows that differ stay."""
-    local, relay = ORDERS.spark(spark, sf)
-    found = D.diff_table(relay, local, ORDERS.pk, ORDERS.ts)
-    return S.moved(relay, local, D.rows_to_push(found, ConflictPolicy.REMOTE_WINS), ORDERS.pk, SyncConfig())
+    local, remote = ORDERS.spark(spark, sf)
+    store = _held(local)
+    relay_ops.retrieve(spark, store, _stored(spark, remote).root, SyncConfig(conflict_resolution=ConflictPolicy.REMOTE_WINS))
+    return store.table("orders")
+
+
+@query(f"WITH {ORDERS.ctes} SELECT {_COLS} FROM r")
+def snapshot_restored(spark, sf):
+    """A store after a snapshot, a push that changed it, and the restore of the snapshot."""
+    local, remote = ORDERS.spark(spark, sf)
+    store = _stored(spark, remote)
+    relay_ops.snapshot(store, "2024-01-01T00:00:00.000Z")
+    S.push_table(_held(local), store, "orders", SyncConfig(conflict_resolution=ConflictPolicy.LOCAL_WINS))
+    relay_ops.snapshot(store, "2024-01-03T00:00:00.000Z")
+    relay_ops.restore(store, "2024-01-02T00:00:00.000Z")
+    return store.table("orders")
+
+
+@query(f"WITH {ORDERS.ctes} SELECT '2024-01-03T00:00:00.000Z' AS timestamp, 'orders' AS name, (SELECT count(*) FROM l) + (SELECT count(*) FROM r WHERE o_orderkey % 10 = 0) AS row_count UNION ALL SELECT '2024-01-01T00:00:00.000Z', 'orders', count(*) FROM r")
+def snapshots_listed(spark, sf):
+    """Snapshots before and after a push, with their counts."""
+    local, remote = ORDERS.spark(spark, sf)
+    store = _stored(spark, remote)
+    relay_ops.snapshot(store, "2024-01-01T00:00:00.000Z")
+    S.push_table(_held(local), store, "orders", SyncConfig())
+    relay_ops.snapshot(store, "2024-01-03T00:00:00.000Z")
+    listed = [(m["timestamp"], t["name"], t["row_count"]) for m in relay_ops.list_snapshots(store) for t in m["tables"]]
+    return spark.createDataFrame(listed, "timestamp string, name string, row_count long")
+
+
+@query(_merged("l", "r", D.push_buckets(ConflictPolicy.LOCAL_WINS)))
+def store_pushed(spark, sf):
+    """A store of files after a push, which writes the files of changed keys."""
+    local, remote = ORDERS.spark(spark, sf)
+    store = _stored(spark, remote)
+    S.push_table(_held(local), store, "orders", SyncConfig(conflict_resolution=ConflictPolicy.LOCAL_WINS))
+    return store.table("orders")
+
+
+@query(f"WITH {CUSTOMER.ctes} SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM l UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM r WHERE c_custkey % 10 = 0")
+def sqlite_pushed(spark, sf):
+    """A SQLite file that holds the right side of customer after a push under local_wins."""
+    local, remote = CUSTOMER.spark(spark, sf)
+    path = os.path.join(urlparse(work_dir(spark)).path, "customer.db")
+    os.makedirs(os.path.dirname(path))
+    with contextlib.closing(sqlite3.connect(path)) as con, con:
+        con.execute("CREATE TABLE customer (c_custkey INTEGER PRIMARY KEY, c_name TEXT, c_nationkey INTEGER, c_acctbal REAL, c_mktsegment TEXT)")
+    store = SqliteStore(spark, path)
+    columns = store.table("customer").columns
+    store.replace("customer", remote.select(*columns))
+    local = MemoryStore({"customer": _typed_like(local.select(*columns), store.table("customer"))}, {"customer": TableSpec("customer", CUSTOMER.pk)})
+    S.push_table(local, store, "customer", SyncConfig(conflict_resolution=ConflictPolicy.LOCAL_WINS))
+    return _typed_like(store.table("customer"), remote)
+
+
+def _typed_like(rows: DataFrame, like: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).cast(like.schema[c].dataType).alias(c) for c in rows.columns])
 
 
 _DAYS = "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS timestamp, count(*) AS n_rows, CAST(sum(octet_length(encode(props))) AS BIGINT) AS size_bytes FROM events GROUP BY 1"

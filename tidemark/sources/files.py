@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+from tidemark.plans.config import ConfigError
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share, ``spark.checkpoint.dir``; where it is unset, a local one, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root}/stores-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
 
 class Files:
     def __init__(self, spark: SparkSession):

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tidemark.functions.globs import user_tables
+from tidemark.operators import merge as M
 from tidemark.operators.batching import insert_statement, max_rows_per_batch, quoted
 from tidemark.plans.config import ConfigError, NetworkError, NotFound, PluginError, Retry
 
@@ -264,6 +265,13 @@ class HttpStore(Store):
     def upsert(self, name: str, rows: DataFrame) -> None:
         rows.write.format("tidemark_http").mode("append").options(**self._options, table=name, order="1").save()
 
+    def apply(self, name: str, rows: DataFrame, keys: DataFrame | None = None, mode: str = "preserve") -> None:
+        """Send the rows, each statement by its key; of the service's own rows only columns that do not come in are read."""
+        schema, pk = self._table_info(name)
+        whole = {*schema.names} <= {*rows.columns} or mode == "replace"
+        target = self.spark.createDataFrame([], schema) if whole else self.table(name)
+        self.upsert(name, M.completed(target, rows, pk, mode))
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """Send the rows that are new or changed; a service keeps what it is not told about."""
         old = self.table(name)
@@ -373,8 +381,17 @@ class PluginStore(Store):
         return self.spark.createDataFrame(out, schema)
 
     def replace(self, name: str, rows: DataFrame) -> None:
+        self._send(name, rows.subtract(self.table(name)))
+
+    def apply(self, name: str, rows: DataFrame, keys: DataFrame | None = None, mode: str = "preserve") -> None:
+        """Send the rows; of the plugin's own rows only columns that do not come in are read."""
+        schema, pk = self._info(name)
+        whole = {*schema.names} <= {*rows.columns} or mode == "replace"
+        self._send(name, M.completed(self.spark.createDataFrame([], schema) if whole else self.table(name), rows, pk, mode))
+
+    def _send(self, name: str, rows: DataFrame) -> None:
         held: list[dict] = []
-        for row in rows.subtract(self.table(name)).toLocalIterator():
+        for row in rows.toLocalIterator():
             held.append({k: to_sqlite(v) for k, v in row.asDict().items()})
             if len(held) == self.batch:
                 self.client.call("upsert_rows", table=name, rows=held)

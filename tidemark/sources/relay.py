@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import diff as D
-from tidemark.operators.sync import SyncResult, diff_of, moved, sync_table, tables_to_sync, validated
+from tidemark.operators import merge as M
+from tidemark.operators.sync import SyncResult, shared, sync_table, tables_to_sync, validated
 from tidemark.plans.config import NotFound, SyncConfig
 
 from .store import ParquetStore, Store
@@ -34,13 +35,24 @@ def stash(spark: SparkSession, local: Store, root: str, config: SyncConfig, tabl
             if not dry_run:
                 tables[name], changed = relay.write_version(spec, rows), True
             continue
-        found = diff_of(local, relay, name, config, check_keys=True).persist()
+        # Columns that the relay lacks are added to it, null in the rows that it has.
+        entry = tables[name]
+        known = {f["name"] for f in entry["schema"]["fields"]}
+        if more := [f.jsonValue() for f in rows.schema if f.name not in known]:
+            entry = tables[name] = entry | {"schema": entry["schema"] | {"fields": entry["schema"]["fields"] + [f | {"nullable": True} for f in more]}}
+            changed = not dry_run
+        D.require_keys(rows, spec.pk)
+        held = relay.rows(entry)
+        D.require_keys(held, spec.pk)
+        left, right = shared(rows, held, spec.pk, name)
+        found = D.diff_table(left, right, spec.pk, spec.ts_col or config.timestamp_column, config.exclude_columns).persist()
         try:
             counts = D.stats(found).first().asDict()
             n = sum(counts[b] for b in D.push_buckets(config.conflict_resolution))
             out.append(SyncResult(name, n, 0, counts if dry_run else None))
             if n and not dry_run:
-                tables[name] = relay.write_version(relay.spec(name), moved(rows, relay.table(name), D.rows_to_push(found, config.conflict_resolution), spec.pk, config))
+                keys = D.rows_to_push(found, config.conflict_resolution)
+                tables[name] = relay.changed(name, tables[name], M.fetch(rows, keys, spec.pk), keys, config.merge_mode)
                 changed = True
         finally:
             found.unpersist()
@@ -75,7 +87,7 @@ def snapshot(store: ParquetStore, at: str | None = None) -> dict:
     """Name the present version. Its folders are immutable, so nothing is copied, whatever the size."""
     tables = store.manifest()["tables"]
     counts = [{"name": n, "row_count": store.row_count(n)} for n in store.list_tables()]
-    size = sum(store.files.size(f"{store.root}/{e['path']}") for e in tables.values())
+    size = sum(store.files.size(f"{store.root}/{p}") for e in tables.values() for p in e["paths"])
     meta = {"timestamp": at or stamp(), "size_bytes": size, "tables": counts}
     held = {"meta": meta, "tables": tables}
     if not store.files.create(f"{store.root}/_snapshots/{meta['timestamp'].replace(':', '-')}.json", json.dumps(held)):
@@ -95,7 +107,7 @@ def restore(store: ParquetStore, at: str) -> dict:
     if found is None:
         raise NotFound(f"no snapshot at or before {at}; the earliest is {held[-1]['meta']['timestamp'] if held else 'none'}")
     for name, e in found["tables"].items():
-        if not store.files.exists(f"{store.root}/{e['path']}"):
+        if not all(store.files.exists(f"{store.root}/{p}") for p in e["paths"]):
             raise NotFound(f"the rows of table {name!r} in snapshot {found['meta']['timestamp']} are gone")
     store.publish(found["tables"], store.version())
     return found["meta"]

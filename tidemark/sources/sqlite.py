@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import os
 import sqlite3
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tidemark.functions.globs import user_tables
+from tidemark.operators import merge as M
 from tidemark.operators.batching import insert_statement, quoted
 from tidemark.plans.config import ConfigError, NotFound
 
@@ -104,12 +106,33 @@ class SqliteReader(DataSourceReader):
 class SqliteWriter(DataSourceWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path, self.name, self.columns = options["path"], options["table"], schema.names
+        self.shadow = None
         if overwrite:
+            # Rows gather beside the table, which is emptied and filled in one transaction at the end.
+            self.shadow = f"_cf_tidemark_{uuid.uuid4().hex}"
             with contextlib.closing(connect(self.path, False)) as con, con:
-                con.execute(f"DELETE FROM {quoted(self.name)}")
+                con.execute(f"CREATE TABLE {quoted(self.shadow)} ({', '.join(map(quoted, self.columns))})")
+
+    def commit(self, messages):
+        if self.shadow:
+            names = ", ".join(map(quoted, self.columns))
+            with contextlib.closing(connect(self.path, False)) as con:
+                con.execute("PRAGMA busy_timeout = 60000")
+                try:
+                    with con:
+                        con.execute(f"DELETE FROM {quoted(self.name)}")
+                        con.execute(f"INSERT INTO {quoted(self.name)} ({names}) SELECT {names} FROM {quoted(self.shadow)}")
+                finally:
+                    with con:
+                        con.execute(f"DROP TABLE {quoted(self.shadow)}")
+
+    def abort(self, messages):
+        if self.shadow:
+            with contextlib.closing(connect(self.path, False)) as con, con:
+                con.execute(f"DROP TABLE IF EXISTS {quoted(self.shadow)}")
 
     def write(self, rows):
-        sql, _ = insert_statement(self.name, self.columns, [{}])
+        sql, _ = insert_statement(self.shadow or self.name, self.columns, [{}])
         with contextlib.closing(connect(self.path, False)) as con, con:
             con.execute("PRAGMA busy_timeout = 60000")
             con.executemany(sql, ([to_sqlite(v) for v in row] for row in rows))
@@ -168,8 +191,17 @@ class SqliteStore(Store):
             raise ConfigError("the store is read-only")
         self._io(rows.coalesce(1).write, name).mode("append").save()  # one writer: the file has one lock
 
+    def apply(self, name: str, rows: DataFrame, keys: DataFrame | None = None, mode: str = "preserve") -> None:
+        """Insert or replace the rows in one transaction; they are computed before it begins."""
+        held = M.completed(self.table(name), rows, self.spec(name).pk, mode).persist()
+        try:
+            held.count()
+            self.upsert(name, held)
+        finally:
+            held.unpersist()
+
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Take over the rows; they are computed before the table that they may come from is emptied."""
+        """Take over the rows in one transaction, or none of them; they are computed before the table that they may come from is emptied."""
         if self.read_only:
             raise ConfigError("the store is read-only")
         held = rows.persist()

@@ -1,6 +1,7 @@
-"""Stores: named tables with keys, read as DataFrames and replaced as wholes.
+"""Stores: named tables with keys, read as DataFrames, replaced as wholes or changed by rows.
 
-``ParquetStore`` keeps every version of a table in a folder of its own and publishes by a commit log:
+``ParquetStore`` never overwrites a file. A version of a table is a list of folders and files; changed rows rewrite only
+the files that hold rows of their keys, into a new folder, and the other files are named again. It publishes by a commit log:
 commit n + 1 is a small file that can be created once, so of two writers one gets ``ConcurrentWrite``,
 and nothing that a plan still reads is ever overwritten. Snapshots are commits with a name.
 """
@@ -15,9 +16,11 @@ from dataclasses import asdict, dataclass, field
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.globs import user_tables
+from tidemark.operators import merge as M
 from tidemark.plans.config import ConcurrentWrite, ConfigError, NotFound
 
 from .files import Files
@@ -47,6 +50,10 @@ class Store(ABC):
     @abstractmethod
     def replace(self, name: str, rows: DataFrame) -> None: ...
 
+    def apply(self, name: str, rows: DataFrame, keys: DataFrame | None = None, mode: str = "preserve") -> None:
+        """Insert or replace rows by key; ``keys`` are theirs, where they are at hand without computing the rows."""
+        self.replace(name, M.upsert(self.table(name), rows, self.spec(name).pk, mode, keys))
+
     def has_column(self, name: str, column: str) -> bool:
         return column in self.table(name).columns
 
@@ -122,14 +129,28 @@ class ParquetStore(Store):
 
     def table(self, name: str) -> DataFrame:
         e = self._entry(name)
-        self._seen[name] = e["path"]
-        return self.spark.read.schema(T.StructType.fromJson(e["schema"])).parquet(f"{self.root}/{e['path']}")
+        self._seen[name] = e["paths"]
+        return self._read(e, e["paths"])
+
+    def _read(self, entry: dict, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(*(f"{self.root}/{p}" for p in paths))
+
+    def rows(self, entry: dict) -> DataFrame:
+        """The rows of a version."""
+        return self._read(entry, entry["paths"])
+
+    def files_of(self, entry: dict) -> list[str]:
+        """The data files of a version, below the root."""
+        out = []
+        for p in entry["paths"]:
+            out += [p] if p.endswith(".parquet") else [f"{p}/{n}" for n in self.files.names(f"{self.root}/{p}") if n.endswith(".parquet")]
+        return out
 
     def write_version(self, spec: TableSpec, rows: DataFrame) -> dict:
         """Write rows to a new folder; they are seen once an entry of a manifest names it."""
         path = f"{spec.name}/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
-        return {"path": path, "schema": rows.schema.jsonValue(), **{k: v for k, v in asdict(spec).items() if k != "name"}}
+        return {"paths": [path], "schema": rows.schema.jsonValue(), **{k: v for k, v in asdict(spec).items() if k != "name"}}
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Publish rows as the table's next version.
@@ -137,17 +158,39 @@ class ParquetStore(Store):
         Fails if the table is not the one last read here, so no other writer's rows are lost; commits of
         other tables in between do no harm.
         """
-        spec = self.spec(name)
-        seen = self._seen.get(name, self._entry(name)["path"])
-        entry = self.write_version(spec, rows)
+        seen = self._seen.get(name, self._entry(name)["paths"])
+        self._exchange(name, seen, self.write_version(self.spec(name), rows))
+
+    def changed(self, name: str, entry: dict, rows: DataFrame, keys: DataFrame | None = None, mode: str = "preserve") -> dict:
+        """A version of the table in ``entry`` with rows inserted or replaced; only files that hold their keys are written anew."""
+        pk, files = entry["pk"], self.files_of(entry)
+        old = self._read(entry, entry["paths"])
+        wanted = (rows if keys is None else keys).select(*pk)
+        held = old.select(*pk, F.col("_metadata.file_name").alias("__file")).join(wanted, pk, "left_semi")
+        touched = {r[0] for r in held.select("__file").distinct().collect()}  # at most one row per file
+        part = [f for f in files if f.rsplit("/", 1)[1] in touched]
+        new = self.write_version(TableSpec(name, pk, entry["ts_col"]), M.upsert(self._read(entry, part) if part else old.limit(0), rows, pk, mode, keys))
+        return new | {"paths": [f for f in files if f not in set(part)] + new["paths"]}
+
+    def apply(self, name: str, rows: DataFrame, keys: DataFrame | None = None, mode: str = "preserve") -> None:
+        entry = self._entry(name)
+        seen = self._seen.get(name, entry["paths"])
+        self._exchange(name, seen, self.changed(name, entry, rows, keys, mode))
+
+    def compact(self, name: str) -> None:
+        """Write a table of many small files anew, in ranges of its key."""
+        rows, spec = self.table(name), self.spec(name)
+        self.replace(name, rows.repartitionByRange(*spec.pk) if spec.pk else rows)
+
+    def _exchange(self, name: str, seen: list[str], entry: dict) -> None:
         while True:
             expected = self.version()
             tables = self.manifest(expected)["tables"]
-            if tables.get(name, {}).get("path") != seen:
+            if tables.get(name, {}).get("paths") != seen:
                 raise ConcurrentWrite(f"table {name!r} of {self.root} was written by somebody else")
             with contextlib.suppress(ConcurrentWrite):
                 self.publish(tables | {name: entry}, expected)
-                self._seen[name] = entry["path"]
+                self._seen[name] = entry["paths"]
                 return
 
     def add(self, spec: TableSpec, rows: DataFrame) -> None:
@@ -171,15 +214,20 @@ class ParquetStore(Store):
         return sorted(out, key=lambda x: x["meta"]["timestamp"], reverse=True)
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete folders that none of the last ``keep`` commits and no snapshot names."""
+        """Delete folders and files that none of the last ``keep`` commits and no snapshot names."""
         last = self.version()
         held = [self.manifest(v) for v in range(max(0, last - keep + 1), last + 1) if self.files.exists(f"{self.root}/_commits/{v:010d}.json")]
         held += self.snapshots()
-        used = {e["path"] for m in held for e in m["tables"].values()}
+        used = {p for m in held for e in m["tables"].values() for p in e["paths"]}
+        folders = {p.rsplit("/", 1)[0] if p.endswith(".parquet") else p for p in used}
         gone = []
         for name in self.files.names(self.root):
             if not name.startswith("_"):
-                gone += [p for p in (f"{name}/{v}" for v in self.files.names(f"{self.root}/{name}")) if p not in used]
+                for p in (f"{name}/{v}" for v in self.files.names(f"{self.root}/{name}")):
+                    if p not in folders:
+                        gone.append(p)
+                    elif p not in used:
+                        gone += [f for f in (f"{p}/{n}" for n in self.files.names(f"{self.root}/{p}") if n.endswith(".parquet")) if f not in used]
         for p in gone:
             self.files.delete(f"{self.root}/{p}")
         return gone

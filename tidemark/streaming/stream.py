@@ -61,11 +61,20 @@ def replay_fold(messages: DataFrame, source: str, seq: str, arrival: str) -> Dat
 
 
 def apply_stream(changes: DataFrame, store, table: str, pk: list[str], ts_col: str, checkpoint: str, **trigger):
-    """Upsert a stream of changed rows into a store's table, last write per key and batch; a repeated batch changes nothing."""
+    """Upsert a stream of changed rows into a store's table: the last write of a key holds, within a batch and across batches.
+
+    A row that is older than the one in the table is passed over, so late rows change nothing, nor does a repeated batch.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            store.replace(table, M.upsert(store.table(table), M.latest(batch, pk, ts_col), pk))
+        held = M.latest(batch, pk, ts_col).persist()
+        try:
+            if not held.isEmpty():
+                old = store.table(table).join(held.select(*pk), pk, "left_semi").select(*pk, F.col(ts_col).alias("__held"))
+                newer = F.col("__held").isNull() | (F.col(ts_col) >= F.col("__held"))
+                store.apply(table, held.join(old, pk, "left").filter(newer).select(*held.columns))
+        finally:
+            held.unpersist()
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
