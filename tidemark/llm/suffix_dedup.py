@@ -304,7 +304,7 @@ def _left_bounded(contexts: DataFrame, chunk: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(left, pa.binary()), *part.columns[2:]], names=part.schema.names).filter(keep)
 
     gram = F.substring("suffix", 1, GRAM)
-    return contexts.repartitionByRange(gram, "left").sortWithinPartitions(gram, "left").mapInArrow(run, contexts.schema)
+    return contexts.repartitionByRange(gram, "left", "suffix").sortWithinPartitions(gram, "left", "suffix").mapInArrow(run, contexts.schema)
 
 
 def _resolved(contexts: DataFrame, chunk: int) -> DataFrame:
