@@ -390,3 +390,94 @@ def test_cli(spark, tmp_path, capsys):
     assert run("retrieve")[1]["tables"] == [] and run("watch", "--ticks", "1", "--lock", str(tmp_path / "lock"))[1]["ticks"] == 1 and run("broadcast", "--once")[0] == 0
     assert run("restore", "1999")[0] == 5 and run("push", "--table", "none")[0] == 5
     assert cli.main(["--config", str(tmp_path / "missing"), "diff"], spark) == 2
+
+
+def test_engine_with_kept_metadata(spark, tmp_path):
+    caches = tuple(cache.MetadataCache(spark, str(tmp_path / x)) for x in "ab")
+    a, b = parquet(spark, tmp_path / "sa", A), parquet(spark, tmp_path / "sb", B)
+    plain = store(spark, A), store(spark, B)
+    e = S.Engine(a, b, caches=caches)
+    assert e.diff() == S.Engine(*plain).diff()
+    assert [(r.pushed, r.pulled) for r in e.sync()] == [(r.pushed, r.pulled) for r in S.sync_all(*plain, SyncConfig())] == [(3, 1)]
+    assert rows(a) == rows(b) == rows(plain[0])
+    assert not any(r.has_changes for r in e.sync())  # what was sent is known, also where it is older than the cursor
+    a.apply("items", spark.createDataFrame([(3, "newest", "2024-02-01")], ITEMS))
+    assert [(r.pushed, r.pulled) for r in e.push()] == [(1, 0)] and (3, "newest", "2024-02-01") in rows(b)
+    b.replace("items", b.table("items").filter("id <> 3"))
+    assert e.diff()["items"]["local_only"] == 0  # a deletion is not seen
+    e.clear_cache()
+    assert e.diff()["items"]["local_only"] == 1
+    other = parquet(spark, tmp_path / "sc", [])
+    e.update_target(other)
+    assert e.diff()["items"]["local_only"] == 5 and caches[0].load("items") is not None
+    assert e.erase_local() == ["items"] and caches[0].load("items") is None
+
+
+def test_kept_metadata_follows_the_columns(spark, tmp_path):
+    c = cache.MetadataCache(spark, str(tmp_path / "c"))
+    df = spark.createDataFrame([(1, "a", "1"), (2, "b", "2")], ITEMS)
+    one = {tuple(r) for r in c.refresh("items", df, ["id"], "updated_at").collect()}
+    wider = df.selectExpr("*", "7 AS extra")
+    assert {r["content_hash"] for r in c.refresh("items", wider, ["id"], "updated_at").collect()}.isdisjoint({r[-1] for r in one})
+    assert {tuple(r) for r in c.refresh("items", df, ["id"], "updated_at").collect()} == one
+    with pytest.raises(C.DuplicateKey):
+        c.refresh("items", df.unionByName(df), ["id"], "updated_at")
+    assert c.load("items").count() == 2
+
+
+def test_update_auth(spark):
+    class Service(MemoryStore):
+        def set_token(self, token):
+            self.token = token
+
+    e = S.Engine(store(spark, A))
+    with pytest.raises(C.NotFound):
+        e.update_auth("t")
+    e.update_target(store(spark, B))
+    with pytest.raises(C.ConfigError):
+        e.update_auth("t")
+    e.update_target(Service({}, {}))
+    e.update_auth("new")
+    assert e.remote.token == "new"
+
+
+@pytest.mark.parametrize("spans", [1, 7, 64])
+def test_numbers_and_guards_by_ranges(spark, spans):
+    """A hot table, a hot first column, nulls: the same as one window over each table."""
+    import random
+
+    rng = random.Random(spans)
+    held = [(rng.choice(["hot"] * 5 + ["cold", None]), i, rng.randrange(300), rng.choice([None, "x", "x", "y"])) for i in range(600)]
+    df = spark.createDataFrame(held, "source string, arrival long, seq long, kind string").repartition(5)
+    got = {r["arrival"]: r["seq"] for r in peer.sequence_numbers(df.drop("seq"), "source", ["kind", "arrival"], spans).collect()}
+    want = {}
+    for name in ("hot", "cold", None):
+        mine = sorted((x for x in held if x[0] == name), key=lambda x: (x[3] is not None, x[3] or "", x[1]))
+        want |= {x[1]: k for k, x in enumerate(mine)}
+    assert got == want
+    verdicts = {r["arrival"]: r["accepted"] for r in peer.replay_accepted(df, "source", "seq", "arrival", spans).collect()}
+    guards = {name: peer.ReplayGuard() for name in ("hot", "cold", None)}
+    assert verdicts == {i: guards[s].accept(q) for s, i, q, _ in held}
+    numbered = batching.batch_numbers(df, ["kind", "arrival"], 10, 4, spans).collect()
+    line = sorted(held, key=lambda x: (x[3] is not None, x[3] or "", x[1]))
+    assert {r["arrival"]: r["batch"] for r in numbered} == {x[1]: k // 10 for k, x in enumerate(line)}
+
+
+def test_path_hashes(spark):
+    from pyspark.sql import functions as F
+
+    import hashlib
+
+    assert spark.range(1).select(peer.db_hash(F.lit("/a/b.sqlite"))).first()[0] == hashlib.sha256(b"/a/b.sqlite").hexdigest()
+
+
+def test_has_column(spark):
+    s = store(spark, A)
+    assert s.has_column("items", "name") and not s.has_column("items", "none")
+
+
+def test_progress(spark):
+    seen = []
+    progress = S.Progress(lambda t, n: seen.append(("start", t, n)), lambda t, n: seen.append(("batch", t, n)), lambda t: seen.append(("finish", t)))
+    S.sync_all(store(spark, A), store(spark, B), SyncConfig(), progress=progress)
+    assert seen == [("start", "items", 3), ("batch", "items", 3), ("finish", "items"), ("start", "items", 1), ("batch", "items", 1), ("finish", "items")]

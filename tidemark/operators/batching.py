@@ -58,23 +58,31 @@ def row_bytes_column(schema: T.StructType, columns: list[str]) -> Column:
     return total.cast("long")
 
 
-def splitters(rows: DataFrame, column: str, spans: int) -> list:
-    """Values that part the rows into about equal ranges: a sample of 20 rows a range, the same whenever it is drawn."""
-    drawn = rows.select(F.col(column).alias("x")).filter("x is not null").orderBy(F.xxhash64("x"), "x").limit(20 * spans).collect()
-    found = sorted(r["x"] for r in drawn)
-    return sorted({found[len(found) * k // spans] for k in range(1, spans)}) if found else []
+def splitters(rows: DataFrame, order: list[str], spans: int) -> list:
+    """Values of the whole order that part the rows into about equal ranges: a sample of 20 rows a range, the same whenever it is drawn."""
+    drawn = rows.select(F.struct(*order).alias("x")).orderBy(F.xxhash64("x"), "x").limit(20 * spans)
+    found = [r["x"] for r in drawn.orderBy("x").collect()]
+    cut = [found[len(found) * k // spans] for k in range(1, spans)] if found else []
+    return [x for k, x in enumerate(cut) if not k or x != cut[k - 1]]
+
+
+def span_of(rows: DataFrame, order: list[str], spans: int) -> Column:
+    """The number of a row's range, ascending with the order."""
+    at = splitters(rows, order, spans)
+    if not at:
+        return F.lit(0)
+    marks = F.array(*[F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, x, strict=True)]) for x in at])
+    return F.size(F.filter(marks, lambda x: x <= F.struct(*order)))
 
 
 def batch_numbers(rows: DataFrame, order: list[str], batch_size: int, columns: int, spans: int = 64) -> DataFrame:
     """Rows with their batch number by the count limit.
 
-    The order is parted at fixed values of its first column; each range is ranked by itself and shifted
+    The order is parted at fixed values, ties of its first columns too; each range is ranked by itself and shifted
     by what stands before it, so no task sees all rows.
     """
     per = rows_by_count(batch_size, columns)
-    at = splitters(rows, order[0], spans)
-    span = F.size(F.filter(F.array(*[F.lit(x) for x in at]), lambda x: x <= F.col(order[0]))) if at else F.lit(0)
-    ranged = rows.withColumn("__span", span)
+    ranged = rows.withColumn("__span", span_of(rows, order, spans))
     ahead = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__span").count().select("__span", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__start"))
     rank = F.row_number().over(Window.partitionBy("__span").orderBy(*order)) - 1

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.canon import with_meta
+from tidemark.functions.canon import content_columns_of, with_meta
 from tidemark.operators import diff as D
 from tidemark.operators.merge import latest
 from tidemark.plans.config import ConcurrentWrite
@@ -53,14 +53,25 @@ class MetadataCache:
         return (self._state(table)[1] or {}).get("cursor")
 
     def refresh(self, table: str, rows: DataFrame, pk: list[str], ts_col: str | None, exclude: list[str] | tuple = ()) -> DataFrame:
-        """The table's metadata now: from the cursor on where there is one, else from a full scan."""
-        n, state = self._state(table)
-        can = state is not None and ts_col in rows.columns and state["cursor"] is not None
+        """The table's metadata now: from the cursor on where there is one and the same columns are hashed, else from a full scan.
+
+        Null or repeated keys among the rows that are read raise. Rows that were deleted, and changed ones whose timestamp is null or
+        did not grow, are seen after ``clear`` only.
+        """
+        _, state = self._state(table)
+        hashed = [*pk, *content_columns_of(rows, ts_col, exclude)]
+        can = state is not None and ts_col in rows.columns and state["cursor"] is not None and state.get("columns") == hashed
         part = since(rows, ts_col, F.lit(state["cursor"]).cast(rows.schema[ts_col].dataType), self.strict) if can else rows
+        D.require_keys(part, pk)
         fresh = with_meta(part, pk, ts_col, exclude)
-        return self.store(table, merge(self.load(table), fresh, pk) if can else fresh)
+        return self.store(table, merge(self.load(table), fresh, pk) if can else fresh, columns=hashed)
+
+    def absorb(self, table: str, changed: DataFrame, pk: list[str]) -> DataFrame:
+        """Take in the metadata of rows that this side was sent; the cursor stays, so what others wrote meanwhile is still found."""
+        _, state = self._state(table)
+        return self.store(table, merge(self.load(table), changed, pk), columns=state.get("columns"), cursor=state["cursor"])
 
-    def store(self, table: str, meta: DataFrame) -> DataFrame:
+    def store(self, table: str, meta: DataFrame, columns: list[str] | None = None, cursor: str | None = None) -> DataFrame:
         """Make ``meta`` the cached frame, as after a push that changed the other side; of two writers one gets ``ConcurrentWrite``.
 
         Of the versions before it the last one stays, which plans may still read.
@@ -69,8 +80,8 @@ class MetadataCache:
         path = f"v{n + 1}-{uuid.uuid4().hex}"
         meta.write.parquet(f"{self.root}/{table}/{path}")
         held = self.spark.read.parquet(f"{self.root}/{table}/{path}")
-        top = cursor_of(held).first()["cursor"]
-        if not self.files.create(f"{self.root}/{table}/_states/{n + 1:010d}.json", json.dumps({"cursor": None if top is None else str(top), "path": path})):
+        top = cursor_of(held).first()["cursor"] if cursor is None else cursor
+        if not self.files.create(f"{self.root}/{table}/_states/{n + 1:010d}.json", json.dumps({"cursor": None if top is None else str(top), "path": path, "columns": columns})):
             self.files.delete(f"{self.root}/{table}/{path}")
             raise ConcurrentWrite(f"the metadata of table {table!r} was refreshed by somebody else")
         for name in self.files.names(f"{self.root}/{table}"):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.canon import with_meta
 from tidemark.operators import diff as D
 from tidemark.operators import merge as M
+from tidemark.operators.batching import span_of
 from tidemark.operators.sync import SyncResult, shared
 from tidemark.plans.config import ConfigError, SyncConfig, SyncError
 
@@ -133,9 +134,17 @@ def reassemble(parts: DataFrame) -> DataFrame:
     return held.filter("n = total_parts").select("source_id", "table", "seq", rows.alias("upserts"), F.flatten(F.col("parts.deletes")).alias("deletes"))
 
 
-def sequence_numbers(messages: DataFrame, table: str, order: list[str]) -> DataFrame:
-    """Messages numbered per table from 0."""
-    return messages.withColumn("seq", (F.row_number().over(Window.partitionBy(table).orderBy(*order)) - 1).cast("long"))
+def sequence_numbers(messages: DataFrame, table: str, order: list[str], spans: int = 64) -> DataFrame:
+    """Messages numbered per table from 0.
+
+    Ranges of table and order are ranked by themselves and shifted by what stands before them, so a table of most rows is many tasks.
+    """
+    ranged = messages.withColumn("__span", span_of(messages, [table, *order], spans))
+    ahead = Window.partitionBy(table).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(table, "__span").count().select(F.col(table).alias("__table"), F.col("__span").alias("__at"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy(table, "__span").orderBy(*order)) - 1
+    ranked = ranged.withColumn("__rank", rank).join(starts, F.col(table).eqNullSafe(F.col("__table")) & (F.col("__span") == F.col("__at")))
+    return ranked.withColumn("seq", (F.col("__start") + F.col("__rank")).cast("long")).select(*[c for c in messages.columns if c != "seq"], "seq")
 
 
 # -- replay ---------------------------------------------------------------------------------------------------------
@@ -183,12 +192,20 @@ class ReplayGuards:
             del self.guards[source]
 
 
-def replay_accepted(messages: DataFrame, source: str, seq: str, arrival: str) -> DataFrame:
-    """The same as windows over whole sources: first of its number, and within the window of the highest before it."""
-    order = Window.partitionBy(source).orderBy(arrival)
+def replay_accepted(messages: DataFrame, source: str, seq: str, arrival: str, spans: int = 64) -> DataFrame:
+    """The same over whole sources: first of its number, and within the window of the highest before it.
+
+    The highest comes from within a range of source and arrival, and from the ranges before it, so a source of most messages is many tasks.
+    """
+    ranged = messages.withColumn("__span", span_of(messages, [source, arrival], spans))
+    ahead = Window.partitionBy(source).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy(source, "__span").agg(F.max(seq).alias("__top")).select(F.col(source).alias("__source"), F.col("__span").alias("__at"), F.max("__top").over(ahead).alias("__before"))
+    within = F.max(seq).over(Window.partitionBy(source, "__span").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
     first = F.row_number().over(Window.partitionBy(source, seq).orderBy(arrival)) == 1
-    high = F.max(seq).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return messages.withColumn("accepted", first & (high.isNull() | (F.col(seq) > high) | (high - F.col(seq) < WINDOW)))
+    held = ranged.withColumn("__within", within).withColumn("__first", first)
+    high = F.greatest("__within", "__before")
+    judged = held.join(tops, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__span") == F.col("__at")))
+    return judged.withColumn("accepted", F.col("__first") & (high.isNull() | (F.col(seq) > high) | (high - F.col(seq) < WINDOW))).select(*messages.columns, "accepted")
 
 
 def encryption_key(text: str | None) -> bytes | None:

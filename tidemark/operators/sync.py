@@ -12,6 +12,7 @@ from itertools import batched
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import cache as K
 from tidemark.operators import diff as D
 from tidemark.operators import merge as M
 from tidemark.plans.config import ConfigError, ConflictPolicy, NoPrimaryKey, NotFound, SyncConfig
@@ -93,6 +94,12 @@ def diff_of(a, b, name: str, config: SyncConfig, check_keys: bool = False) -> Da
     return D.diff_table(left, right, pk, ts_col, config.exclude_columns)
 
 
+def cached_diff_of(a, b, name: str, config: SyncConfig, caches: tuple[K.MetadataCache, K.MetadataCache]) -> DataFrame:
+    """The same from the metadata that is kept of both sides, after what is new since the last run was read."""
+    left, right, pk, ts_col = _pair(a, b, name, config)
+    return K.diff_cached(*caches, name, left, right, pk, ts_col, config.exclude_columns)
+
+
 def moved(source: DataFrame, target: DataFrame, keys: DataFrame, pk: list[str], config: SyncConfig) -> DataFrame:
     """The target after the wanted rows of the source came in."""
     return M.upsert(target, M.strip(M.fetch(source, keys, pk), config.exclude_columns), pk, config.merge_mode, keys)
@@ -110,22 +117,24 @@ def alike(a, b, name: str, config: SyncConfig) -> bool:
     return marks[0] == marks[1]
 
 
-def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry_run: bool = False, verbose: bool = False, progress: Progress | None = None, tell: Callable[[str, int, Iterator[str]], None] | None = None) -> SyncResult:
+def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry_run: bool = False, verbose: bool = False, progress: Progress | None = None, tell: Callable[[str, int, Iterator[str]], None] | None = None, caches: tuple[K.MetadataCache, K.MetadataCache] | None = None) -> SyncResult:
     """Compare once, then write the sides that the direction and the policy change.
 
     After rows were pulled, ``tell`` gets the table, their number and all their keys, which come to the driver a partition at a time.
 
     The comparison is held while both sides are written, so that the second one does not see the first. What is written is the changed
-    rows, and in a store of files the files that hold their keys.
+    rows, and in a store of files the files that hold their keys. With ``caches``, the metadata kept of both sides, only rows from their
+    cursors on are read to compare, and a side that was written is brought up to date there.
     """
     progress = progress or Progress()
     left, right, pk, _ = _pair(a, b, name, config)
-    D.require_keys(left, pk)
-    D.require_keys(right, pk)
-    if config.fingerprint_first and not dry_run and alike(a, b, name, config):
-        return SyncResult(name)
+    if not caches:
+        D.require_keys(left, pk)
+        D.require_keys(right, pk)
+        if config.fingerprint_first and not dry_run and alike(a, b, name, config):
+            return SyncResult(name)
     policy = config.conflict_resolution
-    found = diff_of(a, b, name, config).persist()
+    found = (cached_diff_of(a, b, name, config, caches) if caches else diff_of(a, b, name, config)).persist()
     try:
         counts, detail = _report(found, config, verbose and dry_run)
         push = sum(counts[x] for x in D.push_buckets(policy)) if direction in ("push", "sync") else 0
@@ -134,10 +143,12 @@ def sync_table(a, b, name: str, config: SyncConfig, direction: str = "sync", dry
             log.warning("table %s: %d rows differ and none is newer; they stay", name, counts[D.CONTENT_DIFFERS])
         if dry_run:
             return SyncResult(name, push, pull, counts, detail)
-        for n, side, source, keys in ((push, b, left, D.rows_to_push(found, policy)), (pull, a, right, D.rows_to_pull(found, policy))):
+        for n, side, source, keys, of, to in ((push, b, left, D.rows_to_push(found, policy), "local", 1), (pull, a, right, D.rows_to_pull(found, policy), "remote", 0)):
             if n:
                 progress.start(name, n)
                 side.apply(name, M.strip(M.fetch(source, keys, pk), config.exclude_columns), keys.select(*pk), config.merge_mode)
+                if caches:
+                    caches[to].absorb(name, keys.select(*pk, "pk", F.col(f"{of}_ts").alias("ts"), F.col(f"{of}_hash").alias("content_hash")), pk)
                 progress.batch(name, n)
                 progress.finish(name)
         if pull and tell:
@@ -218,13 +229,15 @@ def change_feed(diff: DataFrame, table: str, policy: ConflictPolicy, source: str
 class Engine:
     """A local store and an optional target, with the calls of an application: push, pull, sync, diff, events.
 
-    An event names at most ``most_keys`` keys; a table with more changed keys is told in consecutive events.
+    An event names at most ``most_keys`` keys; a table with more changed keys is told in consecutive events. With ``caches``, one of
+    each side, runs read what is new since the last one; ``clear_cache`` makes the next run a full scan.
     """
 
     local: object
     remote: object | None = None
     config: SyncConfig = field(default_factory=SyncConfig)
     most_keys: int = 1000
+    caches: tuple[K.MetadataCache, K.MetadataCache] | None = None
 
     def __post_init__(self):
         if self.most_keys < 1:
@@ -257,7 +270,7 @@ class Engine:
                         except Exception:
                             log.exception("a listener failed on table %s", table)
 
-        return sync_all(self.local, self.remote, self.config, direction, tell=tell if self._listeners else None, **more)
+        return sync_all(self.local, self.remote, self.config, direction, tell=tell if self._listeners else None, caches=self.caches, **more)
 
     def push(self, **more) -> list[SyncResult]:
         return self._run("push", **more)
@@ -272,17 +285,35 @@ class Engine:
         """Counts per bucket and table; without a target all rows are on the local side only."""
         if self.remote is None:
             return {n: dict.fromkeys(D.BUCKETS, 0) | {D.LOCAL_ONLY: self.local.row_count(n)} for n in self.local.list_tables() if self.config.should_sync_table(n)}
-        return {n: D.stats(diff_of(self.local, self.remote, n, self.config)).first().asDict() for n in tables_to_sync(self.local, self.remote, self.config)}
+        found = (lambda n: cached_diff_of(self.local, self.remote, n, self.config, self.caches)) if self.caches else (lambda n: diff_of(self.local, self.remote, n, self.config))
+        return {n: D.stats(found(n)).first().asDict() for n in tables_to_sync(self.local, self.remote, self.config)}
 
     def erase_local(self) -> list[str]:
         """Empty the tables of the local side; their schemas stay."""
         names = [n for n in self.local.list_tables() if self.config.should_sync_table(n)]
         for n in names:
             self.local.replace(n, M.erase(self.local.table(n)))
+        self.clear_cache()
         return names
 
     def update_target(self, remote) -> None:
+        """Another target; what was kept of the one before is dropped, what was kept of the local side stays."""
         self.remote = remote
+        if self.caches:
+            self.caches[1].clear()
+
+    def update_auth(self, token: str) -> None:
+        """Another token for the target's service; the kept metadata stays."""
+        if self.remote is None:
+            raise NotFound("there is no target")
+        if not hasattr(self.remote, "set_token"):
+            raise ConfigError("the target is no HTTP service")
+        self.remote.set_token(token)
+
+    def clear_cache(self) -> None:
+        """Forget the metadata of both sides, as after deletions or a change of the schema."""
+        for one in self.caches or ():
+            one.clear()
 
 
 def as_dict(result: SyncResult) -> dict:

@@ -242,6 +242,10 @@ class HttpStore(Store):
         self._options = client.options() | {"page": str(page), "partitions": str(partitions)}
         self._info: dict[str, tuple[T.StructType, list[str]]] = {}
 
+    def set_token(self, token: str | None) -> None:
+        self.client.token = token
+        self._options["token"] = token or ""
+
     def list_tables(self) -> list[str]:
         return user_tables(r["name"] for r in self.client.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name"))
 
