@@ -27,6 +27,24 @@ def test_guard_in_a_stream_agrees_with_the_fold(spark, tmp_path):
     assert len(got) == len(ROWS) and got == verdicts(stream.replay_fold(df, "source", "seq", "arrival").collect())
 
 
+def test_guard_state_is_bounded(spark, tmp_path):
+    """Ids that are too long are refused in both forms; a stream with a time to live judges as one without."""
+    df = spark.createDataFrame([*ROWS, ("x" * 200, 1, 0)], MESSAGES)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(MESSAGES).parquet(f"{tmp_path}/in")
+    # Timers by the clock would ask for empty batches without end, also after the last row.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        q = stream.replay_guard(source, "source", "seq", "arrival", ttl_seconds=270).writeStream.format("memory").queryName("bounded").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        done = q.awaitTermination(100)
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert done
+    got = verdicts(spark.table("bounded").collect())
+    assert not got["x" * 200, 0] and got == verdicts(stream.replay_fold(df, "source", "seq", "arrival").collect())
+
+
 def test_apply_stream(spark, tmp_path):
     schema = "id long, v string, updated_at string"
     store = MemoryStore({"t": spark.createDataFrame([(1, "old", "1")], schema)}, {"t": TableSpec("t", ["id"])})

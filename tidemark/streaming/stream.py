@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import merge as M
-from tidemark.operators.peer import ReplayGuard
+from tidemark.operators.peer import MOST_ID_BYTES, ReplayGuard
 from tidemark.operators.sync import SyncResult
 from tidemark.plans.config import ConfigError, Retry, is_transient
 
@@ -24,16 +24,22 @@ STATE = T.StructType([T.StructField("highest", T.LongType()), T.StructField("see
 
 
 class ReplayProcessor(StatefulProcessor):
-    """Keeps, per source, the highest number and the window behind it; rows of a batch go by arrival."""
+    """Keeps, per source, the highest number and the window behind it; rows of a batch go by arrival.
 
-    def __init__(self, seq: str, arrival: str):
-        self.seq, self.arrival = seq, arrival
+    Ids that are too long are refused and leave no state. With a time to live, a source that is silent for so long is forgotten.
+    """
+
+    def __init__(self, seq: str, arrival: str, ttl_seconds: int | None = None):
+        self.seq, self.arrival, self.ttl_seconds = seq, arrival, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", STATE)
+        self.state = handle.getValueState("window", STATE, *([self.ttl_seconds * 1000] if self.ttl_seconds else []))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         held = pd.concat(list(rows)).sort_values(self.arrival, kind="stable")
+        if too_long(key[0]):
+            yield held.assign(accepted=False)
+            return
         highest, seen = self.state.get() if self.state.exists() else (None, "0")
         guard = ReplayGuard(highest, int(seen))
         held["accepted"] = [guard.accept(int(s)) for s in held[self.seq]]
@@ -44,10 +50,18 @@ class ReplayProcessor(StatefulProcessor):
         pass
 
 
-def replay_guard(messages: DataFrame, source: str, seq: str, arrival: str) -> DataFrame:
-    """A stream of messages with the verdict of the guard of their source."""
+def too_long(source) -> bool:
+    return source is not None and len(str(source).encode()) > MOST_ID_BYTES
+
+
+def replay_guard(messages: DataFrame, source: str, seq: str, arrival: str, ttl_seconds: int | None = None) -> DataFrame:
+    """A stream of messages with the verdict of the guard of their source.
+
+    State lies in the state store, a row a source, so the number of sources has no bound but that; ``ttl_seconds`` drops silent ones.
+    Its clock keeps a query with the ``availableNow`` trigger alive unless ``spark.sql.streaming.noDataMicroBatches.enabled`` is false.
+    """
     schema = T.StructType([*messages.schema.fields, T.StructField("accepted", T.BooleanType())])
-    return messages.groupBy(source).transformWithStateInPandas(statefulProcessor=ReplayProcessor(seq, arrival), outputStructType=schema, outputMode="append", timeMode="None")
+    return messages.groupBy(source).transformWithStateInPandas(statefulProcessor=ReplayProcessor(seq, arrival, ttl_seconds), outputStructType=schema, outputMode="append", timeMode="ProcessingTime" if ttl_seconds else "None")
 
 
 def replay_fold(messages: DataFrame, source: str, seq: str, arrival: str) -> DataFrame:
@@ -55,7 +69,8 @@ def replay_fold(messages: DataFrame, source: str, seq: str, arrival: str) -> Dat
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, guard = pdf.sort_values(arrival, kind="stable"), ReplayGuard()
-        return pdf.assign(accepted=[guard.accept(int(s)) for s in pdf[seq]])
+        refused = too_long(pdf[source].iloc[0])
+        return pdf.assign(accepted=[not refused and guard.accept(int(s)) for s in pdf[seq]])
 
     return messages.groupBy(source).applyInPandas(fold, T.StructType([*messages.schema.fields, T.StructField("accepted", T.BooleanType())]))
 
