@@ -19,22 +19,27 @@ from tidemark.llm.common import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Kept documents without their failing lines; null and empty texts go, rows without an id are judged as others, repeated rows each for itself."""
     return quality_rules.clean(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that three hold, but for the largest id; a null text becomes empty, rows without an id keep all lines, rows of one id count as one document."""
     return line_dedup.drop_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each class of near copies; empty texts are one class, rows without an id stay, repeated rows are one, other texts of one id are documents of their own."""
     return ngram_join.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the characters inside repeated strings; a null text becomes empty, repeated rows repeat each other's strings and lose them."""
     return suffix_dedup.remove_repeats(docs)
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,048 ids with their places; a null or empty text is the end id alone, rows without an id and repeated rows are packed each for itself."""
     return packing.pack(docs)
 
 
