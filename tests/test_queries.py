@@ -29,3 +29,20 @@ def test_query(spark, duck, sf_small, name):
     names = [d[0] for d in out.description]
     want = sorted((tuple(norm(dict(zip(names, r, strict=True))[c]) for c in cols) for r in out.fetchall()), key=repr)
     assert sorted(names) == cols and got == want
+
+
+@pytest.fixture(scope="module")
+def signed_zero(spark, tmp_path_factory):
+    """A folder whose customers hold both zeros, and its view."""
+    folder = str(tmp_path_factory.mktemp("signed_zero"))
+    rows = [(k, f"Customer#{k:09d}", k % 25, bal, "MACHINERY") for k, bal in enumerate([-0.0, 0.0, -0.01, 0.01, -5.0, 1234.5])]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{folder}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{folder}/customer.parquet/*.parquet')")
+    return con, folder
+
+
+def test_estimate_of_minus_zero(spark, signed_zero):
+    duck, folder = signed_zero
+    got = catalog.QUERIES["estimate_row_bytes"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted(duck.execute(catalog.ORACLES["estimate_row_bytes"]).fetchall())

@@ -26,11 +26,11 @@ def text_of(name: str | Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(x))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        # Shortest round-trip digits, written without an exponent where a decimal can hold them.
+        # Shortest round-trip digits, written without an exponent where a decimal can hold them; a decimal has no minus zero.
         short = x.cast("string")
         exact = short.try_cast("decimal(38,18)")
         whole = exact.isNotNull() & (exact.cast("double") == x.cast("double"))
-        return F.when(whole & ~F.isnan(x), _plain_number(exact.cast("string"))).otherwise(short)
+        return F.when(short == "-0.0", "-0").when(whole & ~F.isnan(x), _plain_number(exact.cast("string"))).otherwise(short)
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(x)
     return x.cast("string")
