@@ -46,3 +46,9 @@ def test_estimate_of_minus_zero(spark, signed_zero):
     duck, folder = signed_zero
     got = catalog.QUERIES["estimate_row_bytes"](spark, folder).collect()
     assert sorted(map(tuple, got)) == sorted(duck.execute(catalog.ORACLES["estimate_row_bytes"]).fetchall())
+
+
+def test_fingerprint_of_minus_zero(spark, signed_zero):
+    duck, folder = signed_zero
+    got = catalog.QUERIES["table_fingerprint"](spark, folder).collect()
+    assert list(map(tuple, got)) == duck.execute(catalog.ORACLES["table_fingerprint"]).fetchall()
