@@ -111,6 +111,27 @@ def test_ann_recall_on_clusters(spark):
     assert all(len(v) == 20 for v in got.values()) and np.mean(share) >= 0.9
 
 
+def heavy(rng, n, d):
+    """Directions of one law, lengths of another with a heavy tail: the longest rows are each query's neighbours."""
+    return (rng.normal(size=(n, d)) * np.exp(rng.normal(size=(n, 1)) * 3)).astype(np.float32)
+
+
+def one_giant(rng, n, d):
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    x[5] *= np.float32(1e30)
+    return x
+
+
+@pytest.mark.parametrize("kind", [heavy, one_giant])
+def test_ann_recall_where_codes_are_coarse(spark, monkeypatch, kind):
+    """The sample is a small part of the rows, as in a large table."""
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    x = kind(np.random.default_rng(8), 12_000, 32)
+    got = found_near(spark, x, lambda v: v % 40 == 0)
+    share = [len(set(brute_near(x, q)[0].tolist()) & {v for v, _ in got[q]}) / 20 for q in range(0, len(x), 40)]
+    assert np.mean(share) >= 0.95 and np.mean(np.array(share) < 0.5) <= 0.05
+
+
 def test_ann_repeated_ids(spark):
     """One row of an id holds: the one whose vector is least in the order of its bytes."""
     rng = np.random.default_rng(6)

@@ -10,14 +10,20 @@ or no cell is left, so it gets ``k`` rows wherever there are as many.
 
 Search: cells are laid out in groups of about ``GROUP`` rows, small cells together, a hot cell (say a
 third of all rows) in as many groups as it needs. A query goes once to each group that holds a probed
-cell, and where very many queries meet one group they are parted too. There its asymmetric tables (query against every codeword) rank the probed rows, the best
+cell, its own cell before all others, and where very many queries meet one group they are parted too. There its asymmetric tables (query against every codeword) rank the probed rows, the best
 ``SHORTLIST`` are rescored on the original vectors in double precision, and the ``k`` best leave the
 group; the last step keeps the ``k`` best of all groups. The layout needs the rows per cell, which
 are as many numbers as there are cells, at most ``MOST_CELLS``.
 
+A shortlist of fixed length fails where the codes are coarse against what parts the neighbours: rows larger
+than any in the sample, close copies in a table of scattered rows. So what coding lost of each row is known,
+subspace by subspace, and each row whose estimate may be wrong by enough to reach the ``k`` th score of the
+shortlist is rescored too, without a limit. Wrong by enough is the least of the largest possible error
+and ``SPREAD`` standard deviations of the error if its direction is random.
+
 Nearness is the inner product; ties go to the smaller id, also at the edge of a shortlist. What is fitted,
-coded and estimated is scaled by powers of two, the rows by one for all and each query by its own, so that
-large and small vectors stay within single precision; scores are those of the original vectors.
+coded and estimated is in double precision and scaled by powers of two, the rows by one for all and each query by its own, so that
+large and small vectors, also in one table, have squares within its range; scores are those of the original vectors.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another
 length than most, take no part, nor do rows without an id; of the rows of one id, whether it is asked or found, the one
@@ -39,13 +45,13 @@ from .common import stored
 
 SAMPLE, MOST_CELLS, CODEWORDS, SUBSPACE = 32_768, 4096, 256, 4
 TRIALS, COVERAGE, OWN_COVERAGE, MISSED = 128, 0.98, 0.9, 0.02
-SHORTLIST, GROUP, QUERY_ROOM, QUERIES_AT_ONCE = 320, 4096, 32_768, 128
+SHORTLIST, SPREAD, GROUP, QUERY_ROOM, QUERIES_AT_ONCE = 320, 4.0, 4096, 32_768, 128
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """Centroids of ``points``; fewer than ``k`` if there are fewer distinct points."""
-    points = points.astype(np.float32)
+    points = points.astype(np.float64)
     distinct = np.unique(points, axis=0)
     if len(distinct) <= k:
         return distinct
@@ -56,7 +62,7 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nda
         count = np.bincount(near, minlength=k)
         order = np.argsort(near, kind="stable")
         full = np.flatnonzero(count)
-        sums = np.add.reduceat(points[order].astype(np.float64), (np.cumsum(count) - count)[full], axis=0)
+        sums = np.add.reduceat(points[order], (np.cumsum(count) - count)[full], axis=0)
         centres[full] = sums / count[full, None]
     return centres
 
@@ -64,7 +70,7 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nda
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Index of the nearest centre of each point, in blocks."""
     norms = (centres * centres).sum(1)
-    return np.concatenate([(norms - 2 * points[i : i + 4096] @ centres.T).argmin(1) for i in range(0, len(points), 4096)] or [np.zeros(0, np.int64)])
+    return np.concatenate([(norms - 2 * points[i : i + 2048] @ centres.T).argmin(1) for i in range(0, len(points), 2048)] or [np.zeros(0, np.int64)])
 
 
 @dataclass
@@ -81,6 +87,20 @@ class Index:
         codes = np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], 1)
         return cells, codes.astype(np.uint8)
 
+    def lost(self, vectors: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Per row and subspace: how far the vector is from what its code stands for, rounding included."""
+        out = []
+        for a, b, book, code in zip(self.cuts, self.cuts[1:], self.books, codes.T, strict=False):
+            x, c = vectors[:, a:b], self.centres[cells, a:b]
+            out.append(np.linalg.norm(x - c - book[code], axis=1) + 1e-13 * (np.linalg.norm(x, axis=1) + np.linalg.norm(c, axis=1)))
+        return np.stack(out, 1)
+
+    def slack(self, queries: np.ndarray, lost: np.ndarray) -> np.ndarray:
+        """By how much an estimate may be too small, queries by rows."""
+        weight = np.stack([np.linalg.norm(queries[:, a:b], axis=1) for a, b in zip(self.cuts, self.cuts[1:], strict=False)], 1)
+        likely = SPREAD * np.sqrt((weight**2 / np.diff(self.cuts)) @ (lost**2).T)
+        return np.minimum(weight @ lost.T, likely, out=likely)
+
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
         """Per subspace: inner products of the queries with the codewords."""
         return [queries[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
@@ -129,7 +149,14 @@ def _measure(exact: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 def _own_scale(vectors: np.ndarray) -> np.ndarray:
     """Each row by a power of two, so that its largest component is between a half and one."""
-    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0, keepdims=True))[1]).astype(np.float32)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0, keepdims=True))[1])
+
+
+def _order(queries: np.ndarray, centres: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Cells in the order in which each query probes them: its own, then by the inner product with the centre."""
+    score = queries @ centres.T
+    score[np.arange(len(queries)), own] = np.inf
+    return np.argsort(-score, axis=1, kind="stable")
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", query_room: int = QUERY_ROOM) -> DataFrame:
@@ -145,13 +172,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     kind = "<f4" if dict(sound.dtypes)["vector"] == "array<float>" else "<f8"
     sound = sound.filter(F.size("vector") == dim)
     sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()
-    index = train(np.ldexp(_matrix(sample.column(0).combine_chunks(), dim, np.float64), down).astype(np.float32), total)
+    index = train(np.ldexp(_matrix(sample.column(0).combine_chunks(), dim, np.float64), down), total)
 
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1), dim, kind)
-                cells, codes = index.encode(np.ldexp(x.astype(np.float64), down).astype(np.float32))
+                cells, codes = index.encode(np.ldexp(x.astype(np.float64), down))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "cell", "codes", "data"])
 
     rows = stored(sound.mapInArrow(encode, "vec_id long, cell int, codes binary, data binary"), "ivf")
@@ -160,7 +187,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
         one = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("data", "cell", "codes")).alias("row"))
         one = one.select("vec_id", "row.cell", "row.codes", "row.data")
         rows = stored(rows.join(repeated, "vec_id", "left_anti").unionByName(one), "ivf")
-    asked = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "data")
+    asked = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "data", "cell")
     probes = _probes(rows, asked, index, k, kind, dim)
 
     held = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # at most one row per cell
@@ -188,9 +215,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
             yield pa.RecordBatch.from_arrays([pa.array(first[cells] + spread.astype(np.int64) % parts[cells]), *batch.columns], names=["grp", *batch.schema.names])
 
     def deal_queries(batches):
-        for batch in batches:
-            x = _own_scale(_unpack(batch.column(1), kind, dim).astype(np.float64))
-            near = np.argsort(-(x @ index.centres.T), axis=1, kind="stable")
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+            near = _order(_own_scale(_unpack(batch.column(1), kind, dim).astype(np.float64)), index.centres, batch.column(2).to_numpy())
             # Cells up to the one with which SHORTLIST rows and the query's own are met.
             most = np.maximum(probes, 1 + (np.cumsum(filled[near], axis=1) <= SHORTLIST).sum(1))
             take = [cells[:n] for cells, n in zip(near, most, strict=True)]
@@ -215,6 +241,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
             cell = np.searchsorted(own, rows.column("cell").to_numpy())
             codes = _unpack(rows.column("codes"), np.uint8, len(index.books))
             data = _unpack(rows.column("data"), kind, dim).astype(np.float64)
+            scaled = np.ldexp(data, down)
+            lost = index.lost(scaled, rows.column("cell").to_numpy(), codes)
+            keep = max(SHORTLIST, k)
             for at in range(0, queries.num_rows, QUERIES_AT_ONCE):
                 part = queries.slice(at, QUERIES_AT_ONCE)
                 exact = _unpack(part.column("data"), kind, dim).astype(np.float64)
@@ -227,9 +256,14 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 for table, code in zip(index.tables(q), codes.T, strict=True):
                     score += table[:, code]
                 score[~probed[:, cell] | (ids[None, :] == query_ids[:, None])] = -np.inf
-                short = _best(score, SHORTLIST)
+                short = _best(score, keep)
+                if len(ids) > keep:
+                    score += index.slack(q, lost)
                 for i in range(len(q)):
                     pick = np.flatnonzero(short[i])
+                    if len(pick) == keep < len(ids):
+                        edge = np.partition(scaled[pick] @ q[i], keep - k)[keep - k]
+                        pick = np.flatnonzero(short[i] | (score[i] >= edge))
                     with np.errstate(over="ignore", invalid="ignore"):
                         value = np.nan_to_num((data[pick] * exact[i]).sum(1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                     order = np.lexsort((ids[pick], -value))[:k]
@@ -288,7 +322,7 @@ def _probes(rows: DataFrame, asked: DataFrame, index: Index, k: int, kind: str,
     true = near.withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "cell").collect()  # at most TRIALS x k rows
     if not true:
         return 1
-    order = np.argsort(-(_own_scale(exact) @ index.centres.T), axis=1, kind="stable")
+    order = _order(_own_scale(exact), index.centres, trial.column("cell").to_numpy())
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(order), 0), 1)
     query, ranks = np.array([r["q"] for r in true]), np.array([place[r["q"], r["cell"]] for r in true])
