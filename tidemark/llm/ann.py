@@ -138,7 +138,9 @@ def _best(scores: np.ndarray, keep: int) -> np.ndarray:
     edge = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep, None]
     above, level = scores > edge, scores == edge
     room = keep - above.sum(1, keepdims=True)
-    return (above | (level & (np.cumsum(level, 1) <= room))) & (scores > -np.inf)
+    tied = np.flatnonzero(level.sum(1, keepdims=True) > room)
+    level[tied] &= np.cumsum(level[tied], 1) <= room[tied]
+    return (above | level) & (scores > -np.inf)
 
 
 def _measure(exact: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -243,6 +245,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
             data = _unpack(rows.column("data"), kind, dim).astype(np.float64)
             scaled = np.ldexp(data, down)
             lost = index.lost(scaled, rows.column("cell").to_numpy(), codes)
+            rounding = 1e-12 * np.linalg.norm(scaled, axis=1)
             keep = max(SHORTLIST, k)
             for at in range(0, queries.num_rows, QUERIES_AT_ONCE):
                 part = queries.slice(at, QUERIES_AT_ONCE)
@@ -252,9 +255,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 probed = np.zeros((len(q), len(own)), bool)
                 for i, cells in enumerate(part.column("cells").to_pylist()):
                     probed[i, np.searchsorted(own, [c for c in cells if c in here])] = True
-                score = (q @ index.centres[own].T)[:, cell]
+                score = (index.centres[own] @ q.T)[cell]
                 for table, code in zip(index.tables(q), codes.T, strict=True):
-                    score += table[:, code]
+                    score += np.ascontiguousarray(table.T)[code]
+                score = np.ascontiguousarray(score.T)
                 score[~probed[:, cell] | (ids[None, :] == query_ids[:, None])] = -np.inf
                 short = _best(score, keep)
                 if len(ids) > keep:
@@ -264,6 +268,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                     if len(pick) == keep < len(ids):
                         edge = np.partition(scaled[pick] @ q[i], keep - k)[keep - k]
                         pick = np.flatnonzero(short[i] | (score[i] >= edge))
+                    if kind == "<f4" and len(pick) > k:  # products of doubles may overflow or vanish and tie
+                        near = scaled[pick] @ q[i]
+                        pick = pick[near + rounding[pick].max() * np.linalg.norm(q[i]) >= np.partition(near, len(pick) - k)[len(pick) - k]]
                     with np.errstate(over="ignore", invalid="ignore"):
                         value = np.nan_to_num((data[pick] * exact[i]).sum(1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                     order = np.lexsort((ids[pick], -value))[:k]
