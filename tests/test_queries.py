@@ -52,3 +52,13 @@ def test_fingerprint_of_minus_zero(spark, signed_zero):
     duck, folder = signed_zero
     got = catalog.QUERIES["table_fingerprint"](spark, folder).collect()
     assert list(map(tuple, got)) == duck.execute(catalog.ORACLES["table_fingerprint"]).fetchall()
+
+
+@pytest.mark.parametrize("amounts", [[0.00012279650462332371, -0.00043872094321195654, 0.0009376901531066295, 0.0001, -0.00025, 0.001], []])
+def test_fingerprint_of_small_amounts_and_of_no_rows(spark, tmp_path, amounts):
+    rows = [(k, f"Customer#{k:09d}", k % 25, bal, "MACHINERY") for k, bal in enumerate(amounts)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    got = catalog.QUERIES["table_fingerprint"](spark, str(tmp_path)).collect()
+    assert list(map(tuple, got)) == con.execute(catalog.ORACLES["table_fingerprint"]).fetchall()

@@ -27,10 +27,12 @@ def text_of(name: str | Column, kind: T.DataType) -> Column:
         return F.lower(F.hex(x))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         # Shortest round-trip digits, written without an exponent where a decimal can hold them; a decimal has no minus zero.
+        # Seventeen digits that begin at the fourth decimal end at the 20th, where Java already writes an exponent.
         short = x.cast("string")
-        exact = short.try_cast("decimal(38,18)")
+        exact, longer = short.try_cast("decimal(38,18)"), short.try_cast("decimal(38,21)")
         whole = exact.isNotNull() & (exact.cast("double") == x.cast("double"))
-        return F.when(short == "-0.0", "-0").when(whole & ~F.isnan(x), _plain_number(exact.cast("string"))).otherwise(short)
+        text = F.when(short == "-0.0", "-0").when(whole & ~F.isnan(x), _plain_number(exact.cast("string")))
+        return text.when(F.endswith(short, F.lit("E-4")), _plain_number(longer.cast("string"))).otherwise(short)
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(x)
     return x.cast("string")
