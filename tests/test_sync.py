@@ -1,4 +1,6 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import pytest
 
@@ -9,6 +11,7 @@ from tidemark.operators import sync as S
 from tidemark.plans import config as C
 from tidemark.plans.config import SyncConfig
 from tidemark.sources import relay as R
+from tidemark.sources.files import Files
 from tidemark.sources.store import MemoryStore, ParquetStore, TableSpec
 
 ITEMS = "id long, name string, updated_at string"
@@ -153,6 +156,49 @@ def test_parquet_store_loses_no_writes(spark, tmp_path):
     assert a.row_count("items") == 3 and a.list_tables() == ["items", "other"]
 
 
+def test_a_commit_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    s, seen, at = ParquetStore(spark, str(tmp_path / "s"), create=True), [], Files._at
+
+    class Stream:
+        def __init__(self, out):
+            self.out, self.close = out, out.close
+
+        def write(self, data):
+            seen.append(s.manifest())
+            self.out.write(data)
+
+    class Watched:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def create(self, *args):
+            return Stream(self.fs.create(*args))
+
+    monkeypatch.setattr(Files, "_at", lambda self, path: (lambda fs, p: (Watched(fs), p))(*at(self, path)))
+    s.publish({"t": {}}, 0)
+    assert seen == [{"tables": {}}] and s.manifest() == {"tables": {"t": {}}}
+    assert s.files.names(s.root) == ["_commits"]
+
+
+def test_one_of_several_writers_creates_a_file(spark, tmp_path):
+    files, start = Files(spark), Barrier(4)
+
+    def create(mine):
+        won = []
+        for k in range(100):
+            start.wait()
+            won.append(files.create(f"{tmp_path}/s/_commits/{k}.json", mine))
+        return won
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(create, "abcd"))
+    assert [sum(x) for x in zip(*won, strict=True)] == [1] * 100
+    assert all(files.read(f"{tmp_path}/s/_commits/{k}.json") == next(m for m, w in zip("abcd", won, strict=True) if w[k]) for k in range(100))
+
+
 def test_tables_in_parallel(spark, tmp_path):
     a, b = (ParquetStore(spark, str(tmp_path / x), create=True) for x in "ab")
     for s, part in ((a, A), (b, B)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from tidemark.plans.config import ConfigError
@@ -49,8 +50,37 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Write a file that must not exist yet; False if it does."""
+        """Write a file that must not exist yet, whole as soon as it is seen; False if it does.
+
+        Local files are looked for before they are created, not in one step, and are seen while they are written: there a finished draft
+        is linked to its name, which one of several writers can do. HDFS renames the draft in one step and never over a file. Other
+        file systems create the file as they can; object stores show it when it is closed.
+        """
         fs, p = self._at(path)
+        scheme = fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs"):
+            return self._write(fs, p, text)
+        if fs.exists(p):
+            return False
+        fs.mkdirs(p.getParent())
+        draft = self._jvm.org.apache.hadoop.fs.Path(p.getParent().getParent(), f"_draft-{uuid.uuid4().hex}")
+        self._write(fs, draft, text)
+        try:
+            return self._link(draft, p) if scheme == "file" else fs.rename(draft, p)
+        finally:
+            fs.delete(draft, False)
+
+    def _link(self, draft, p) -> bool:
+        at = self._jvm.java.io.File
+        try:
+            self._jvm.java.nio.file.Files.createLink(at(p.toUri().getPath()).toPath(), at(draft.toUri().getPath()).toPath())
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True
+
+    def _write(self, fs, p, text: str) -> bool:
         try:
             stream = fs.create(p, False)
         except Exception as e:
